@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import debruijn, ngram_join, repeats, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_array_dedup(_table(spark, sf_dir, "documents"), length=50)
+
+
+def op10_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.de_bruijn_repeats(_table(spark, sf_dir, "documents"), length=50, k=25)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op10_de_bruijn_repeats": op10_de_bruijn_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.sql(),
+        "op2_suffix_array_dedup": repeats.sql(50),
+        "op10_de_bruijn_repeats": repeats.sql(50),
     }
