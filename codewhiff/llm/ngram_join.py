@@ -54,7 +54,7 @@ def _sets(df: DataFrame, n: int, t: float, id_col: str, text_col: str, bytes_eac
         for batch in batches:
             ids = np.asarray(batch.column(0), dtype=np.int64)
             text = batch.column(1)
-            entries, names, sizes, owner = [], [], [], []
+            entries, names, sizes, owner, held = [], [], [], [], 0
             for at, piece in C.slices(text):
                 h, first, _, _ = C.tokens(piece, terms=True)
                 g, gf = C.grams(h, first, n)
@@ -70,21 +70,27 @@ def _sets(df: DataFrame, n: int, t: float, id_col: str, text_col: str, bytes_eac
                 names.append(name)
                 sizes.append(size)
                 owner.append(ids[at + row[cut]])
-            if not names:
-                continue
-            name, size, own = map(np.concatenate, (names, sizes, owner))
-            g, who = map(np.concatenate, zip(*entries))
-            once = np.zeros(len(name), dtype=bool)
-            once[np.unique(name, return_index=True)[1]] = True
-            keep = once[who]
-            g, who = g[keep], who[keep]
-            rows = []
-            for p, (gp, wp) in C.split_by(((g >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32), parts, g, who):
-                used, at = np.unique(wp, return_inverse=True)
-                rows.append((p, C.pack(*C.pack48(gp), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), name[used])))
-            for p, arrays in C.split_by((name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), parts, name, own, size):
-                rows.append((parts + p, C.pack(*arrays)))
-            yield C.block_batch(rows)
+                held += len(g)
+                if held > 1 << 20:
+                    yield flush(entries, names, sizes, owner)
+                    entries, names, sizes, owner, held = [], [], [], [], 0
+            if names:
+                yield flush(entries, names, sizes, owner)
+
+    def flush(entries, names, sizes, owner) -> pa.RecordBatch:
+        name, size, own = map(np.concatenate, (names, sizes, owner))
+        g, who = map(np.concatenate, zip(*entries))
+        once = np.zeros(len(name), dtype=bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        keep = once[who]
+        g, who = g[keep], who[keep]
+        rows = []
+        for p, (gp, wp) in C.split_by(((g >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32), parts, g, who):
+            used, at = np.unique(wp, return_inverse=True)
+            rows.append((p, C.pack(*C.pack48(gp), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), name[used])))
+        for p, arrays in C.split_by((name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), parts, name, own, size):
+            rows.append((parts + p, C.pack(*arrays)))
+        return C.block_batch(rows)
 
     def count(key, table):
         part = key[0].as_py()
@@ -143,7 +149,7 @@ def _sets(df: DataFrame, n: int, t: float, id_col: str, text_col: str, bytes_eac
         res = []
         for i in np.flatnonzero(active | (end - cut > 1)).tolist():
             mine = g[at[i] : at[i + 1]]
-            res.append((int(uname[i].view(np.int64)), int(usize[i]), int(own[cut[i]]), own[cut[i] + 1 : end[i]].tolist(), np.sort(mine).tobytes(), mine[: max(0, int(window[i]))].tobytes()))
+            res.append((int(uname[i].view(np.int64)), int(usize[i]), int(own[cut[i]]), own[cut[i] + 1 : end[i]].tolist(), b"".join(x.tobytes() for x in C.pack48(np.sort(mine))), mine[: max(0, int(window[i]))].tobytes()))
         return pa.table(list(map(list, zip(*res))) if res else [[] for _ in out], schema=out)
 
     return docs.mapInArrow(read, C.BLOCK_DDL).groupBy("part").applyInArrow(count, C.BLOCK_DDL).groupBy("part").applyInArrow(build, "name long, size int, rep long, others array<long>, grams binary, window binary")
@@ -194,7 +200,7 @@ def _near(sets: DataFrame, t: float) -> DataFrame:
             if b - a < 2:
                 continue
             rows = order[a:b]
-            arrays = [np.frombuffer(blobs[r].as_py(), dtype=np.uint64) for r in rows.tolist()]
+            arrays = [_grams(blobs[r].as_py()) for r in rows.tolist()]
             cross = key[0, a] != key[1, a]
             x, y, s = Region(arrays, size[rows], eps).pairs(half[rows] if cross else None)
             found.append(np.stack([rep[rows[x]], rep[rows[y]], s.view(np.int64)]))
@@ -205,6 +211,11 @@ def _near(sets: DataFrame, t: float) -> DataFrame:
     return located.groupBy("task").applyInArrow(join, "doc_a long, doc_b long, jaccard double")
 
 
+def _grams(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return C.unpack48(np.frombuffer(blob, dtype=np.uint32, count=n), np.frombuffer(blob, dtype=np.uint16, count=n, offset=4 * n))
+
+
 class Region:
     """The sets of one region, as sorted arrays of those n-grams that more than one set has, and their full sizes."""
 
