@@ -49,7 +49,7 @@ def de_bruijn_repeats(df: DataFrame, length: int = 50, k: int = 25, id_col: str
                 words = [(h[x:y] >> np.uint64(16)).tobytes() for x, y in zip(a.tolist(), b.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array((a - first[d]).astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "start", "words"])
 
-    segments = C.written(R.with_anchors(docs, anchors).mapInArrow(cut, SEGMENTS).dropDuplicates(["doc_id", "start", "words"]), "segments")
+    segments = C.written(R.with_anchors(docs, anchors).mapInArrow(cut, SEGMENTS), "segments")  # repeated rows give equal segments, and later equal places
     parts = C.partitions_for(segments, 2 << 20)
 
     def nodes(batches):
@@ -95,7 +95,7 @@ def de_bruijn_repeats(df: DataFrame, length: int = 50, k: int = 25, id_col: str
         return pa.table({"doc_id": doc[ok], "start": start[ok], "pos": pos[ok]})
 
     forks = segments.mapInArrow(nodes, C.BLOCK_DDL).groupBy("part").applyInArrow(branching, "doc_id long, start int, pos int")
-    forks = forks.groupBy("doc_id", "start").agg(F.collect_set("pos").alias("forks"))
+    forks = C.written(forks.groupBy("doc_id", "start").agg(F.collect_set("pos").alias("forks")), "forks")
     edges = length - k + 1
 
     def paths(batches):
