@@ -12,11 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship  # noqa: F401
+from .. import runtime
 
 # ---------------------------------------------------------------- storage
 
 
+def ship(spark: SparkSession) -> None:
+    """Code to the workers, and Arrow batches of a size that two workers and their executor can hold with long texts."""
+    runtime.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -98,7 +98,7 @@ def suffix_array_dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id",
     C.ship(df.sparkSession)
     docs = R.documents(df, id_col, text_col)
     anchors = C.written(R.repeated_anchors(docs, length, GRAM), "anchors")
-    parts = C.partitions_for(anchors, 256 << 10)
+    parts = C.partitions_for(anchors, 80 << 10)
 
     def read(batches):
         for batch in batches:
