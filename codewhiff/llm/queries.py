@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, ngram_join, repeats, suffix_dedup
+from . import debruijn, decontaminate, hnsw, langid, licenses, ngram_join, packing, repeats, sharding, suffix_dedup, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,35 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_array_dedup(_table(spark, sf_dir, "documents"), length=50)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train_on(docs))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), capacity=4096)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_neighbours(_table(spark, sf_dir, "embeddings"), k=10)
+
+
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.write_wavelet_shards(_table(spark, sf_dir, "documents")).select("doc_id", "shard", "start", "n_tokens")
+
+
+def op9_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.de_bruijn_repeats(_table(spark, sf_dir, "documents"), length=50, k=25)
 
@@ -29,6 +58,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_language_id": op4_language_id,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_license_scan": op6_license_scan,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_wavelet_shards": op8_wavelet_shards,
+        "op9_compacted_shards": op9_compacted_shards,
         "op10_de_bruijn_repeats": op10_de_bruijn_repeats,
     }
 
@@ -37,5 +73,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.sql(),
         "op2_suffix_array_dedup": repeats.sql(50),
+        "op6_license_scan": licenses.sql(),
         "op10_de_bruijn_repeats": repeats.sql(50),
     }
