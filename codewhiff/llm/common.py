@@ -18,9 +18,13 @@ from .. import runtime
 
 
 def ship(spark: SparkSession) -> None:
-    """Code to the workers, and Arrow batches of a size that two workers and their executor can hold with long texts."""
+    """Code to the workers, and batches of a size that two workers and their executor can hold with long texts.
+
+    The Parquet reader's vectors grow by doubling, so batches of thousands of texts would leave large arrays to the collector.
+    """
     runtime.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 256)
 
 
 def shared_dir(spark: SparkSession) -> str:

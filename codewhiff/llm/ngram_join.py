@@ -180,7 +180,6 @@ def _near(sets: DataFrame, t: float) -> DataFrame:
         return pa.table({"region": both[:, 0], "name": both[:, 1]})
 
     cells = active.select("name", "window").mapInArrow(spread, C.BLOCK_DDL).groupBy("part").applyInArrow(regions, "region long, name long").distinct()
-    cells = C.written(cells, "ngram-regions")
     big = cells.groupBy("region").count().withColumn("blocks", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int")).drop("count")
     mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
     placed = cells.join(big, "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
