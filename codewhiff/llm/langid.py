@@ -112,16 +112,17 @@ class ByteConvNet:
 
 
 def train_on(df: DataFrame, per_language: int = 150, per_text: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", seed: int = 11) -> ByteConvNet:
-    """A network trained on a bounded sample: ``per_language`` labelled texts of each language, those of least hash of
+    """A network trained on a bounded sample: ``per_language`` labelled texts of each of the 64 most frequent languages, those of least hash of
     their id, and ``per_text`` windows from anywhere in each, of lengths from 8 bytes to a whole window, some of them in capitals. A further class,
     ``und``, gets made-up bytes that are no text."""
-    from pyspark.sql.window import Window
-
-    labelled = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("id is not null and label is not null and length(text) >= 40")
-    langs = [x.label for x in labelled.select("label").groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
-    picked = []
-    for lang in sorted(langs):  # a top-k of each language needs no exchange of texts
-        picked += labelled.where(F.col("label") == lang).orderBy(F.xxhash64("id"), "id", "text").limit(per_language).collect()
+    labelled = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).where("id is not null and label is not null and length(text) >= 40")
+    langs = {x.label: x["count"] for x in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()}
+    # a bound on the hash that about three times the sample is below, so that what is sent to the driver doesn't grow with the rows
+    bound = {k: (1 << 63) - 1 if n <= 3 * per_language else -(1 << 63) + (3 * per_language << 64) // n for k, n in langs.items()}
+    picked = _least(labelled, bound, per_language)
+    short = [k for k, n in langs.items() if sum(x.label == k for x in picked) < min(n, per_language)]
+    if short:
+        picked = [x for x in picked if x.label not in short] + _least(labelled, {k: (1 << 63) - 1 for k in short}, per_language)
     r = np.random.default_rng(seed)
     classes = sorted(langs) + [UNKNOWN]
     xs, ys = [], []
@@ -147,6 +148,18 @@ def train_on(df: DataFrame, per_language: int = 150, per_text: int = 4, id_col:
     return net
 
 
+def _least(labelled: DataFrame, bound: dict[str, int], most: int) -> list:
+    """Of each label, the ``most`` rows of least hash, all of which should be within the bound."""
+    rows = []
+    if bound:
+        near = None
+        for label, least in sorted(bound.items()):
+            one = (F.col("label") == label) & (F.col("h") <= least)
+            near = one if near is None else near | one
+        rows = sorted(labelled.where(near).collect(), key=lambda x: (x.label, x.h, x.id, x.text))
+    return [x for i, x in enumerate(rows) if i < most or rows[i - most].label != x.label]
+
+
 def identify(df: DataFrame, net: ByteConvNet, min_confidence: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, predicted, confidence, n_windows, accepted)`` of every row.
 
