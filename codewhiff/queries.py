@@ -142,5 +142,5 @@ def oracle_sql() -> dict[str, str]:
         "markdown_totals": f"{whole} SELECT (CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END)::INT AS ord, '| ' || upper(severity[1]) || severity[2:] || ' | ' || count(*) || ' |' AS text FROM findings GROUP BY severity",
         "ci_gate": f"{whole} SELECT count(*) FILTER (severity IN ('error', 'warn')) > 0 AS failed FROM findings",
         "exit_code": f"{whole} SELECT CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 1 ELSE 0 END::INT AS code FROM findings",
-        "rule_catalogue": f"SELECT * FROM (VALUES {values}) t(rule_ord, rule, severity, category, languages, description, pattern, anti, excl)",
+        "rule_catalogue": f"SELECT * FROM (VALUES {values}) t(rule_ord, rule, severity, category, languages, description, pattern, \"anti\", excl)",
     }
