@@ -28,13 +28,39 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """(least edit distance of the pattern to any substring of the text, end of the first such substring), by Myers'
-    bit-parallel recurrence with one integer for a column."""
-    m = len(pattern)
+def unions(item: str, k: int) -> list[list[tuple[int, int, int]]]:
+    """For each of the ``k + 1`` pieces, unions (begin, end, edits) of ever more neighbouring pieces that hold it, short of the whole.
+
+    Pieces are halved again and again. Of a union of n pieces with fewer than n edits, one half has fewer edits than pieces too, so that
+    from the whole item down to some piece without an edit, every union has at most n - 1 edits.
+    """
+    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(k + 1)]
+
+    def halve(i: int, j: int) -> None:
+        if j - i > 1:
+            halve(i, (i + j) // 2)
+            halve((i + j) // 2, j)
+            if j - i <= k:
+                for leaf in range(i, j):
+                    out[leaf].append((cuts[i], cuts[j], j - i - 1))
+
+    halve(0, k + 1)
+    return out
+
+
+def bit_masks(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def myers(pattern: str, text: str, enough: int = -1, masks: dict[str, int] | None = None) -> tuple[int, int]:
+    """(least edit distance of the pattern to any substring of the text, end of the first such substring), by Myers'
+    bit-parallel recurrence with one integer for a column. It stops where a distance of ``enough`` is found."""
+    m = len(pattern)
+    masks = bit_masks(pattern) if masks is None else masks
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best, end = m, 0
@@ -55,6 +81,8 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
         mv = ph & xv
         if score < best:
             best, end = score, j + 1
+            if best <= enough:
+                break
     return best, end
 
 
@@ -63,7 +91,8 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, rate: float = 0.1, l
 
     Texts are compared in lower case with single spaces. An item of n characters may differ by k = rate * n edits
     (less if pieces would be shorter than ``least_piece``). It is split into k + 1 pieces, of which one must occur exactly; all
-    pieces are found in one pass with an automaton, and around each hit Myers' algorithm finds the least distance. ``end``
+    pieces are found in one pass with an automaton. Around a hit Myers' algorithm first holds ever larger unions of pieces against their share of
+    the budget (:func:`unions`), which chance hits fail at once, and then finds the least distance of the whole item. ``end``
     is where the first best match ends in the normal text.
 
     The benchmark is sent to the tasks in blocks of bounded size, one pass over the documents for each block, so that
@@ -99,8 +128,9 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, least_piec
 
         known, where = sent.value, {}
         for n, (_, text) in enumerate(known):
-            for at, piece in pieces(text, budget(len(text), rate, least_piece)):
-                where.setdefault(piece, []).append((n, at))
+            k = budget(len(text), rate, least_piece)
+            for (at, piece), around in zip(pieces(text, k), unions(text, k)):
+                where.setdefault(piece, []).append((n, at, [(a - at, b - at, e, text[a:b], bit_masks(text[a:b])) for a, b, e in around]))
         automaton = ahocorasick.Automaton()
         for piece, spots in where.items():
             automaton.add_word(piece, (len(piece), spots))
@@ -112,11 +142,12 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, least_piec
                 text = normal(text)
                 hits: dict[int, list[tuple[int, int]]] = {}
                 for last, (size, spots) in automaton.iter(text):
-                    for n, at in spots:
-                        begin = last + 1 - size - at
-                        m = len(known[n][1])
-                        k = budget(m, rate, least_piece)
-                        hits.setdefault(n, []).append((begin - k, begin + m + k))
+                    place = last + 1 - size
+                    for n, at, around in spots:
+                        if all(myers(union, text[max(0, place + a - e) : place + b + e], e, masks)[0] <= e for a, b, e, union, masks in around):
+                            m = len(known[n][1])
+                            k = budget(m, rate, least_piece)
+                            hits.setdefault(n, []).append((place - at - k, place - at + m + k))
                 for n, spans in hits.items():
                     item, text_ = known[n]
                     k = budget(len(text_), rate, least_piece)
