@@ -73,8 +73,8 @@ def lines_of(content: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """The part after the last dot of the file's name; none for names that only begin with a dot."""
-    return F.regexp_extract(path, r"(?:^|/)[^/]*[^/.][^/]*\.([^./]*)$|(?:^|/)\.+[^/.][^/]*\.([^./]*)$", 1)
+    """The part after the last dot of the file's name; none for a name whose only dot is its first character."""
+    return F.regexp_extract(path, r"(?:^|/)[^/]+\.([^./]*)\z", 1)
 
 
 def unquoted(text: Column) -> Column:
