@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import runtime
 
-# ---------------------------------------------------------------- storage
+# == storage
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,7 +72,7 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[df[c] for c in cols])
 
 
-# ---------------------------------------------------------------- blocks
+# == blocks
 #
 # A block exchange moves many small records as a few rows: (part INT, blob BINARY). Each blob
 # holds numpy arrays, so serialisation costs bytes, not rows.
@@ -129,7 +129,7 @@ def unpack48(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return lo.astype(np.uint64) | (hi.astype(np.uint64) << np.uint64(32))
 
 
-# ---------------------------------------------------------------- tokens
+# == tokens
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _P = 0x9E3779B97F4A7C15 | 1
