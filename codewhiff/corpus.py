@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import runtime
+
 
 def _filled(n: int, line: str) -> str:
     return "\n".join([line] * n)
@@ -57,7 +59,8 @@ SNIPPETS: tuple[tuple[str, str], ...] = (
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, size, content)``: one file for each document of the table, with all of its text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runtime.tune(spark)
+    docs = runtime.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = len(SNIPPETS)
     bodies = F.array(*[F.lit(body) for _, body in SNIPPETS])
     kinds = F.array(*[F.lit(ext) for ext, _ in SNIPPETS])
@@ -68,9 +71,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("doc_id is not null").select(name.alias("file"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
 
 
-DIFF_FILES = "documents"
-
-
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(diff_id, diff)``: a unified diff for each document, which adds its lines to the file of the corpus."""
     all_files = files(spark, sf_dir)

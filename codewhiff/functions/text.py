@@ -89,7 +89,8 @@ def count_of(text: Column, char: str) -> Column:
 def braces(text: Column) -> Column:
     """Opening less closing braces, outside strings."""
     bare = F.regexp_replace(unquoted(text), r"[^{}]+", "")
-    return 2 * F.length(F.replace(bare, F.lit("}"), F.lit(""))) - F.length(bare)
+    delta = 2 * F.length(F.replace(bare, F.lit("}"), F.lit(""))) - F.length(bare)
+    return F.when(text.contains("{") | text.contains("}"), delta).otherwise(0)
 
 
 def raw_braces(text: Column) -> Column:

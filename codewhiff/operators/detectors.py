@@ -18,11 +18,14 @@ CATCH = r"catch\s*(?:[(][^)]*[)])?\s*\{"
 CATCH_EMPTY = CATCH + r"\s*\}"
 CATCH_TODO = r"^//\s*(?:fixme|ignore|suppress|todo)"
 CONSOLE = r"^\s*console\.(?:error|info|log|warn)\s*\("
-HEADER = r"(?:function\s+(\w+)|(?:var|let|const)\s+(\w+)\s*=\s*(?:async\s+)?(?:[(][^)]*[)]|[^=])\s*=>|(\w+)\s*(?::\s*\w[^=]*)?\s*[(][^)]*[)]\s*(?::\s*\w[^{]*)?\s*\{)"
-PROTOCOL = r"^\s*class\s+(\w+)\s*[(](?:[^)]*,\s*|)(?:[\w.]+[.])?Protocol(?:\s*,[^)]*)?[)]\s*:"
+_W = r"\s*"
+_ARGS = "[(][^)]*[)]"
+HEADER = r"(?:function\s+(\w+)|(?:var|let|const)\s+(\w+)" + f"{_W}={_W}" + r"(?:async\s+)?(?:" + _ARGS + "|[^=])" + _W + r"=>|(\w+)" + f"{_W}(?::{_W}" + r"\w[^=]*)?" + _W + _ARGS + f"{_W}(?::{_W}" + r"\w[^{]*)?" + _W + r"\{)"
+PROTOCOL = "^" + _W + r"class\s+(\w+)" + _W + r"[(](?:[^)]*,\s*|)(?:[\w.]+[.])?Protocol(?:\s*,[^)]*)?[)]\s*:"
 EXPORTED = r"__all__\s*[=:]\s*[(\[]([^\])]*)[)\]]"
+QUOTED = R.QUOTE + "([^\"']+)" + R.QUOTE
 EXCEPT = r"^\s*except\s*[:\w]"
-EXCEPT_PASS = r"^\s*except\s*(?:[(][^)]*[)]\s*)?(?:\w[,.\w\s]*)?(?:\s+as\s+\w+)?\s*:\s*pass\s*(?:#.*)?$"
+EXCEPT_PASS = "^" + _W + "except" + _W + f"(?:{_ARGS}{_W})?" + r"(?:\w[,.\w\s]*)?" + r"(?:\s+as\s+\w+)?" + f"{_W}:{_W}pass{_W}" + r"(?:#.*)?$"
 EXCEPT_OPEN = r":\s*(?:#.*)?$"
 
 OUT = "array<struct<line:int,column:int,message:string>>"
@@ -38,8 +41,9 @@ def _none() -> Column:
     return F.array().cast(OUT)
 
 
-def _numbered(lines: Column) -> Column:
-    return F.transform(lines, lambda t, i: struct_of(no=i + 1, t=t))
+def _numbered(lines: Column, **facts: Callable[[Column], Column]) -> Column:
+    """Lines as structs of number, text and ``facts``. What a step uses more than once should be one, for a step's expressions share nothing."""
+    return F.transform(lines, lambda t, i: struct_of(no=i + 1, t=t, **{k: f(t) for k, f in facts.items()}))
 
 
 def struct_of(**fields: Column) -> Column:
@@ -57,13 +61,13 @@ def deep_nesting(lines: Column, content: Column) -> Column:
     start = struct_of(depth=F.lit(0), seen=F.array().cast("array<int>"), out=_none())
 
     def step(s: Column, x: Column) -> Column:
-        depth = s.depth + T.raw_braces(x.t)
+        depth = s.depth + x.delta
         new = (depth >= R.DEEPEST) & ~F.array_contains(s.seen, depth)
         message = F.format_string("Nesting depth %d; return early or extract functions.", depth)
         seen = F.when(depth < R.DEEPEST, F.array().cast("array<int>")).when(new, F.array_append(s.seen, depth)).otherwise(s.seen)
         return struct_of(depth=depth, seen=seen, out=F.when(new, F.array_append(s.out, _found(x.no, 1, message))).otherwise(s.out))
 
-    return F.when(T.count_of(content, "{") >= R.DEEPEST, F.aggregate(_numbered(lines), start, step, lambda s: s.out))
+    return F.when(T.count_of(content, "{") >= R.DEEPEST, F.aggregate(_numbered(lines, delta=T.raw_braces), start, step, lambda s: s.out))
 
 
 def _catch(lines: Column, classify: Callable[[Column], tuple[Column, Column]], single: Callable[[Column, Column], tuple[Column, Column]], close: Callable[[Column], tuple[Column, Column]], message: str) -> Column:
@@ -141,22 +145,27 @@ def god_function(lines: Column, content: Column) -> Column:
         one, two, three = (F.regexp_extract(t, header, i) for i in (1, 2, 3))
         return F.when(one != "", one).when(two != "", two).otherwise(three)
 
+    def starts(t: Column) -> Column:
+        """The name of the function that begins on a line, or null."""
+        begins = t.contains("{") & F.regexp_extract(t, f"(?s){header}.*", 0).contains("{")
+        return F.when(begins & ~name(t).isin(*R.KEYWORDS), name(t))
+
     def step(s: Column, x: Column) -> Column:
-        depth = s.depth + T.braces(x.t)
-        starts = x.t.contains("{") & F.regexp_extract(x.t, f"(?s){header}.*", 0).contains("{") & ~name(x.t).isin(*R.KEYWORDS)
-        one = F.array(struct_of(line=x.no.cast("int"), base=s.depth, name=name(x.t)))
-        now = F.when(starts, F.concat(s.open, one)).otherwise(s.open)
+        depth = s.depth + x.delta
+        one = F.array(struct_of(line=x.no.cast("int"), base=s.depth, name=x.begins))
+        now = F.when(x.begins.isNotNull(), F.concat(s.open, one)).otherwise(s.open)
         done = F.filter(now, lambda o: (o.base == depth) & (x.no - o.line + 1 > R.LONGEST))
         found = F.transform(done, lambda o: _found(o.line, 1, F.format_string("Function '%s' has %d lines, more than 80; divide it.", o["name"], x.no - o.line + 1)))
-        return struct_of(depth=depth, open=F.filter(now, lambda o: o.base != depth), out=F.when(F.size(done) > 0, F.concat(s.out, found)).otherwise(s.out))
+        idle = x.begins.isNull() & (F.size(s.open) == 0)
+        return struct_of(depth=depth, open=F.when(idle, s.open).otherwise(F.filter(now, lambda o: o.base != depth)), out=F.when(idle, s.out).otherwise(F.concat(s.out, found)))
 
-    return F.when(F.size(lines) > R.LONGEST, F.aggregate(_numbered(lines), start, step, lambda s: s.out))
+    return F.when(F.size(lines) > R.LONGEST, F.aggregate(_numbered(lines, delta=T.braces, begins=starts), start, step, lambda s: s.out))
 
 
 def unused_protocol(lines: Column, content: Column) -> Column:
     """Protocol classes that no other line names and ``__all__`` doesn't hold."""
     pattern = T.render(PROTOCOL)
-    exported = F.regexp_extract_all(F.regexp_extract(content, T.render(EXPORTED), 1), F.lit(r"""['"]([^'"]+)['"]"""), F.lit(1))
+    exported = F.regexp_extract_all(F.regexp_extract(content, T.render(EXPORTED), 1), F.lit(QUOTED), F.lit(1))
     words = F.regexp_extract_all(content, F.lit(r"\w+"), F.lit(0))
     headers = F.filter(F.transform(_numbered(lines), lambda x: struct_of(no=x.no, t=x.t, name=F.regexp_extract(x.t, pattern, 1))), lambda h: h["name"] != "")
 

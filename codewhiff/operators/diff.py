@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+_COUNT = r"(?:,[0-9]+)?"
+HUNK = "^@@ -[0-9]+" + _COUNT + " [+]([0-9]+)" + _COUNT + " @@"
 
 
 def header_path(line):

@@ -31,7 +31,10 @@ def _guard(text: Column, guards: tuple[str, ...]) -> Column:
 
 
 def _hit(text: Column, rule: R.Rule) -> Column:
-    cond = _guard(text, rule.guards) & T.matches(text, rule.pattern, rule.ignore_case)
+    """Whether a line that has one of the rule's guards breaks it."""
+    cond = T.matches(text, rule.pattern, rule.ignore_case)
+    if rule.needs:
+        cond = T.matches(text, rule.needs, rule.ignore_case) & cond
     if rule.anti:
         cond &= ~T.matches(text, rule.anti, rule.anti_ignore_case)
     if rule.excl:
@@ -40,15 +43,21 @@ def _hit(text: Column, rule: R.Rule) -> Column:
 
 
 def _mask(ext: Column, text: Column, rules: list[R.Rule]) -> Column:
-    """One bit for each rule that the line breaks. Rules for the same languages share a test of the extension."""
-    groups: dict[tuple[str, ...], list[R.Rule]] = {}
+    """One bit for each rule that the line breaks. Rules for the same languages share a test of the extension, and those with the same guards
+    a search for these, so that most lines meet no regular expression."""
+    none = F.lit(0).cast("long")
+    groups: dict[tuple[str, ...], dict[tuple[str, ...], list[R.Rule]]] = {}
     for r in rules:
-        groups.setdefault(r.languages, []).append(r)
-    terms = []
-    for langs, members in groups.items():
-        bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(_hit(text, r), F.lit(1 << r.ord)).otherwise(F.lit(0)).cast("long") for r in members])
-        terms.append(F.when(ext.isin(*langs), bits).otherwise(F.lit(0).cast("long")))
-    return reduce(lambda a, b: a.bitwiseOR(b), terms)
+        groups.setdefault(r.languages, {}).setdefault(r.guards, []).append(r)
+
+    def every(terms: list[Column]) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), terms)
+
+    of_language = []
+    for langs, by_guard in groups.items():
+        guarded = [F.when(_guard(text, guards), every([F.when(_hit(text, r), F.lit(1 << r.ord).cast("long")).otherwise(none) for r in members])).otherwise(none) for guards, members in by_guard.items()]
+        of_language.append(F.when(ext.isin(*langs), every(guarded)).otherwise(none))
+    return every(of_language)
 
 
 def find(files: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,17 +77,20 @@ def find(files: DataFrame, config: Config = Config(), keep: tuple[str, ...] = ()
         one = F.coalesce(one, F.array().cast(OUT))
         found.append(_of_file(one, r))
     multi = F.concat(*found) if found else F.array().cast(T.EMPTY)
-    exploded = split.select("file", "ext", "kept", multi.alias("multi"), F.posexplode("lines").alias("pos", "text"))
+    # before the lines are exploded: a line's row must not carry its whole file along
+    detected = split.select("file", "ext", "kept", "lines", multi.alias("multi"))
+    exploded = detected.select("file", "ext", "kept", "multi", F.posexplode("lines").alias("pos", "text"))
     mask = _mask(F.col("ext"), F.col("text"), lines_on) if lines_on else F.lit(0).cast("long")
-    lines = exploded.select("file", "kept", "pos", "text", mask.alias("mask"), F.when(F.col("pos") == 0, F.col("multi")).alias("multi"))
-    lines = lines.where((F.col("mask") != 0) | (F.size("multi") > 0))
+    lines = exploded.select("file", "kept", "pos", "text", mask.alias("mask"), "multi")
+    lines = lines.where((F.col("mask") != 0) | ((F.col("pos") == 0) & (F.size("multi") > 0)))
 
-    ords = F.filter(F.array(*[F.lit(r.ord) for r in lines_on]).cast("array<int>"), lambda o: F.col("mask").bitwiseAND(F.element_at(_bits(), o + 1)) != 0)
+    # the mask is named often here, so that the optimizer keeps it as a column
+    ords = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << r.ord)) != 0, F.lit(r.ord)) for r in lines_on]).cast("array<int>"))
     column = F.lit(0)
     for r in lines_on:
         column = F.when(F.col("o") == r.ord, T.position(F.col("text"), r.pattern, r.ignore_case)).otherwise(column)
     on_lines = F.transform(ords, lambda o: struct_of(ord=o, line=F.col("pos") + 1, column=F.lit(0), message=F.lit(None).cast("string"), snippet=F.lit(None).cast("string")))
-    every = lines.select("file", "kept", "text", F.explode(F.concat(on_lines.cast(T.EMPTY), F.coalesce(F.col("multi"), F.array().cast(T.EMPTY)))).alias("f"))
+    every = lines.select("file", "kept", "text", F.explode(F.concat(on_lines.cast(T.EMPTY), F.when(F.col("pos") == 0, F.col("multi")).otherwise(F.array().cast(T.EMPTY)))).alias("f"))
     flat = every.select("file", "kept", "text", F.col("f.ord").alias("o"), F.col("f.line").alias("line"), F.col("f.column").alias("c"), F.col("f.message").alias("m"), F.col("f.snippet").alias("s"))
 
     def of(values: list[str]) -> Column:
@@ -95,10 +107,6 @@ def _of_file(found: Column, rule: R.Rule) -> Column:
     return F.transform(found, lambda m: struct_of(ord=F.lit(rule.ord), line=m.line, column=m["column"], message=m.message, snippet=T.strip(F.element_at(F.col("lines"), m.line))))
 
 
-def _bits() -> Column:
-    return F.array(*[F.lit(1 << r.ord).cast("long") for r in R.RULES])
-
-
 def ordered(findings: DataFrame) -> DataFrame:
     """By file in dictionary order, line, and the catalogue's order: one range exchange of the findings."""
     return findings.orderBy(F.collate("file", "UNICODE"), "file", "line", "rule_ord")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import corpus, oracle
+from . import corpus, oracle, runtime
 from .operators import diff, filters, reports
 from .operators.scan import COLUMNS, files_scanned, scan, scan_content
 from .plans import rules as R
@@ -21,7 +21,8 @@ IGNORE = Config(ignore=("dist", "src/vendor", "*.min.js", "lib/*7.py"), include=
 
 
 def _texts(spark: SparkSession, sf_dir: str, table: str, name: str, text: str, ext: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").where(F.col(name).isNotNull())
+    runtime.tune(spark)
+    rows = runtime.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(name, text)).where(F.col(name).isNotNull())
     return rows.select(F.concat(F.col(name).cast("string"), F.lit(f".{ext}")).alias("file"), F.col(text).alias("content"))
 
 

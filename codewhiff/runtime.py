@@ -1,4 +1,4 @@
-"""Making this package importable in Python workers."""
+"""Making this package importable in Python workers, and settings for its plans."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def tune(spark: SparkSession) -> None:
+    """A line is tested in one generated method. Above 8,000 bytes the JVM would interpret it, so beyond that Spark is to split it."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def spread(df: DataFrame, below: int = 256 << 20) -> DataFrame:
+    """A table of an estimated size ``below`` this, which may be one split, over all cores. Larger tables have splits enough and aren't exchanged."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df

@@ -125,7 +125,7 @@ def god_function(lines):
 
 def unused_protocol(lines):
     m = EXPORTED.search("\n".join(lines))
-    names = set(re.findall(r"""['"]([^'"]+)['"]""", m[1])) if m else set()
+    names = set(re.findall(D.QUOTED, m[1])) if m else set()
     out = []
     for i, line in enumerate(lines):
         m = PROTOCOL.search(line)

@@ -99,9 +99,20 @@ def test_changed_lines(spark):
 
 def test_one_narrow_stage(spark):
     """No exchange, no Python and one scan of the source."""
-    plan = scan(corpus.files(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("concat(doc_id, '.ts') as file", "text as content")
+    plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    lines = plan[: plan.index("Generate posexplode")].rsplit("\n", 1)[0]
+    assert "content" not in lines and "lines#" not in lines  # a line's row doesn't hold its file
+
+
+def test_small_tables_are_spread(spark):
+    from codewhiff import runtime
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert runtime.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert runtime.spread(docs, below=0) is docs
 
 
 DIFFS = [
