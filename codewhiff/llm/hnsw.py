@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-RESULT = "vec_id long, neighbor_id long, distance double"
+RESULT = "vec_id long, neighbor_id long, rank int, distance double"
+PASS = 1 << 16  # vectors that a task looks up in one pass over the shards
 
 
 class Graph:
@@ -204,12 +205,10 @@ def nearest_neighbours(df: DataFrame, k: int = 10, shard_size: int = 16384, m: i
     """``(vec_id, neighbor_id, rank, distance)``: about the ``k`` nearest other vectors of every vector, by Euclidean distance.
 
     Vectors fall in shards of about ``shard_size`` by a hash of their id. One task builds each shard's graph and writes its flat neighbour
-    arrays to the shared folder. Every vector is looked up in every shard, and the shards' results are merged; ties go to the smaller
-    id. Null ids, null or empty vectors, and vectors with nulls or values that aren't finite, or of another length than the most frequent
+    arrays to the shared folder. Every vector is looked up in every shard: a task holds up to 65,536 vectors, reads one graph after the other and merges
+    the shards' results, so that vectors are exchanged once, however many shards there are. Ties go to the smaller id. Null ids, null or empty vectors, and vectors with nulls or values that aren't finite, or of another length than the most frequent
     one, take no part. Of repeated ids one row counts. Other columns are ignored. No rows in, none out.
     """
-    from pyspark.sql.window import Window
-
     spark = df.sparkSession
     C.ship(spark)
     base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
@@ -240,25 +239,35 @@ def nearest_neighbours(df: DataFrame, k: int = 10, shard_size: int = 16384, m: i
         fs.move(temp, f"{root}/{key[0].as_py()}.hnsw")
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int64())})
 
-    made = [r.shard for r in placed.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, n long").collect()]
-    groups = max(1, -(-total // 4096))
-    asked = base.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.array(*[F.lit(s).cast("int") for s in sorted(made)]).cast("array<int>")))
+    made = sorted(r.shard for r in placed.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, n long").collect())
+    spread = max(-(-total // PASS), min(spark.sparkContext.defaultParallelism, -(-total // batch)), 1)
+
+    def look_up(batches):
+        held: list[pa.RecordBatch] = []
+        for part in batches:
+            held.append(part)
+            if sum(map(len, held)) >= PASS:
+                yield answer(held)
+                held = []
+        if held:
+            yield answer(held)
 
-    def look_up(key, table):
-        graph, ids = _load(f"{path}/{key[0].as_py()}.hnsw")
-        own, v = matrix(table)
-        out = []
-        for at in range(0, len(own), batch):
-            pos, d = graph.search(v[at : at + batch], k + 1, ef)
-            who = np.repeat(own[at : at + batch], pos.shape[1])
-            found = np.where(pos.ravel() >= 0, ids[np.maximum(pos.ravel(), 0)], -1)
-            ok = (pos.ravel() >= 0) & (found != who)
-            exact = np.sqrt(((v[at : at + batch].astype(np.float64)[:, None] - graph.x[np.maximum(pos, 0)]) ** 2).sum(axis=2)).ravel()
-            out.append((who[ok], found[ok], exact[ok]))
-        who, found, d = map(np.concatenate, zip(*out))
-        return pa.table({"vec_id": who, "neighbor_id": found, "distance": d})
+    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own, v = matrix(pa.Table.from_batches(held))
+        best_i, best_d = np.full((len(own), k), -1, dtype=np.int64), np.full((len(own), k), np.inf)
+        for shard in made:
+            graph, ids = _load(f"{path}/{shard}.hnsw")
+            for at in range(0, len(own), batch):
+                q, me = v[at : at + batch], own[at : at + batch, None]
+                pos, _ = graph.search(q, k + 1, ef)
+                found = np.where(pos >= 0, ids[np.maximum(pos, 0)], -1)
+                exact = np.sqrt(((q.astype(np.float64)[:, None] - graph.x[np.maximum(pos, 0)]) ** 2).sum(axis=2))
+                i = np.concatenate([best_i[at : at + batch], found], axis=1)
+                d = np.concatenate([best_d[at : at + batch], np.where((pos < 0) | (found == me), np.inf, exact)], axis=1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_i[at : at + batch], best_d[at : at + batch] = np.take_along_axis(i, order, axis=1), np.take_along_axis(d, order, axis=1)
+        row, place = np.nonzero(np.isfinite(best_d))
+        columns = [own[row], best_i[row, place], (place + 1).astype(np.int32), best_d[row, place]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["vec_id", "neighbor_id", "rank", "distance"])
 
-    hits = asked.groupBy("shard", "group").applyInArrow(look_up, RESULT)
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", "distance")
+    return base.repartition(spread).mapInArrow(look_up, RESULT)
