@@ -54,7 +54,7 @@ def test_exact_round_trip(spark, shard_tokens):
     assert sorted(got, key=str) == sorted([(i, t or "") for i, t in texts], key=str)
     for f in files.values():
         assert sum(n for _, _, n in f.docs) == f.n
-    assert (len(files) > 2) == (shard_tokens == 40)
+    assert any(not f.endswith("-0000.wm") for f in files) == (shard_tokens == 40)  # small shards: a task writes several
     assert W.write_wavelet_shards(table(spark, [])).collect() == []
 
 
