@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEAF = 512  # regions up to this many sets are joined directly
+PIECE = 512  # ids of one point that are expanded at once
+PAIRS = "doc_a long, doc_b long, jaccard double"
 BLOCK = 4096  # regions above this are cut into pairs of blocks, each its own task group
 
 
@@ -18,8 +20,9 @@ def ngram_jaccard_join(df: DataFrame, n: int = 3, threshold: float = 0.55, id_co
     Jaccard distance ``1 - threshold``.
 
     Documents with equal n-gram sets are one point of the space: its smallest id stands for it, each other id
-    is paired with that one at 1.0, and other points are paired by their smallest ids. No pair is lost: any two documents
-    within the distance are joined by one or two of these rows.
+    is paired with that one at 1.0, and other points are paired by their smallest ids. These are not all pairs, but
+    any two documents within the distance are joined by a path of one to three of these rows; :func:`ngram_jaccard_pairs`
+    gives all pairs.
 
     1. One exchange by n-gram gives document frequencies; an n-gram that only one set has can't be shared, so a set
        with more of these than the distance allows is at a larger distance from every other set, and leaves.
@@ -37,10 +40,60 @@ def ngram_jaccard_join(df: DataFrame, n: int = 3, threshold: float = 0.55, id_co
     C.ship(df.sparkSession)
     sets = C.written(_sets(df, n, threshold, id_col, text_col, bytes_each), "ngram-sets")
     copies = sets.select(F.col("rep").alias("doc_a"), F.explode("others").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    near = _near(sets, threshold)
+    near = _near(sets, threshold).select("doc_a", "doc_b", "jaccard")
     return near.unionByName(copies).where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def ngram_jaccard_pairs(df: DataFrame, n: int = 3, threshold: float = 0.55, id_col: str = "doc_id", text_col: str = "text", bytes_each: int = 8 << 20) -> DataFrame:
+    """All pairs ``(doc_a, doc_b, jaccard)``, doc_a < doc_b, of documents within the distance, those of equal n-gram sets among them.
+
+    Points are joined as in :func:`ngram_jaccard_join`. The ids of a point are then cut into pieces of at most ``PIECE``, and
+    for each pair of points within the distance, and for each point with itself, each two of their pieces are expanded on their own.
+    Only an id with several texts can be in a pair more than once, so only pairs with such an id are exchanged for the largest similarity.
+    Nulls, short texts, repeated rows and other columns are as there.
+    """
+    C.ship(df.sparkSession)
+    sets = C.written(_sets(df, n, threshold, id_col, text_col, bytes_each), "ngram-sets")
+    ids = sets.select("name", F.explode(F.concat(F.array("rep"), "others")).alias("id"))
+    several = ids.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("again"))
+    held = ids.join(several, "id", "left").select("name", "id", F.coalesce("again", F.lit(False)).alias("again"))
+    whole = held.groupBy("name", "again").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / PIECE).cast("int")), lambda k: F.slice("ids", k * PIECE + 1, F.lit(PIECE)))
+    pieces = C.written(whole.select("name", "again", F.posexplode(cut).alias("k", "ids")), "id-pieces")
+    near = _near(sets, threshold).select(F.least("name_a", "name_b").alias("x"), F.greatest("name_a", "name_b").alias("y"), "jaccard").groupBy("x", "y").agg(F.max("jaccard").alias("jaccard"))
+    itself = sets.where("size(others) > 0").select(F.col("name").alias("x"), F.col("name").alias("y"), F.lit(1.0).alias("jaccard"))
+    near = C.written(near.unionByName(itself), "near-points")
+
+    def sides(left: DataFrame, right: DataFrame) -> DataFrame:
+        a, b = (p.select(F.col("name").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("again", "k", "ids")]) for p, c in ((left, "x"), (right, "y")))
+        both = near.join(a, "x").join(b, "y").where("x <> y or (again_x, k_x) <= (again_y, k_y)")
+        # pieces of a large point are next to each other after the join
+        return both.select("ids_x", "ids_y", "jaccard", F.expr("x = y and again_x = again_y and k_x = k_y").alias("same")).repartition(max(parts, 8))
+
+    parts = C.partitions_for(sets, 4 << 20)
+    once, more = pieces.where("not again"), pieces.where("again")
+    out = sides(once, once).mapInArrow(_expand, PAIRS)
+    if more.isEmpty():
+        return out
+    rest = sides(once, more).unionByName(sides(more, once)).unionByName(sides(more, more)).mapInArrow(_expand, PAIRS)
+    return out.unionByName(rest.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")))
+
+
+def _expand(batches):
+    """The pairs of ids of each two pieces; within one piece each pair once."""
+    for batch in batches:
+        for a, b, s, same in zip(*batch.columns):
+            a, b = (np.asarray(v.values, dtype=np.int64) for v in (a, b))
+            if same.as_py():
+                i, j = np.triu_indices(len(a), 1)
+                x, y = a[i], a[j]
+            else:
+                x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+            ok = x != y
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), s.as_py()))], names=["doc_a", "doc_b", "jaccard"])
+
+
 def _need(size: np.ndarray, t: float) -> np.ndarray:
     """How many of a set's n-grams, rarest first, any set within the distance must share one of."""
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
@@ -192,6 +245,7 @@ def _near(sets: DataFrame, t: float) -> DataFrame:
         order = np.lexsort(key)
         key = key[1:, order]
         cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist() + [len(order)]
+        name = np.asarray(table.column("name"), dtype=np.int64)
         rep, size = np.asarray(table.column("rep"), dtype=np.int64), np.asarray(table.column("size"), dtype=np.int64)
         blobs, half = table.column("grams").combine_chunks(), np.asarray(table.column("mine"), dtype=np.int64)
         found: list[np.ndarray] = []
@@ -202,12 +256,12 @@ def _near(sets: DataFrame, t: float) -> DataFrame:
             arrays = [_grams(blobs[r].as_py()) for r in rows.tolist()]
             cross = key[0, a] != key[1, a]
             x, y, s = Region(arrays, size[rows], eps).pairs(half[rows] if cross else None)
-            found.append(np.stack([rep[rows[x]], rep[rows[y]], s.view(np.int64)]))
-        x, y, s = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.table({"doc_a": x, "doc_b": y, "jaccard": np.ascontiguousarray(s).view(np.float64)})
+            found.append(np.stack([rep[rows[x]], rep[rows[y]], s.view(np.int64), name[rows[x]], name[rows[y]]]))
+        x, y, s, u, v = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        return pa.table({"doc_a": x, "doc_b": y, "jaccard": np.ascontiguousarray(s).view(np.float64), "name_a": u, "name_b": v})
 
     located = placed.join(active.select("name", "size", "rep", "grams"), "name").withColumn("task", F.pmod(F.xxhash64("region", "i", "j"), F.lit(groups)))
-    return located.groupBy("task").applyInArrow(join, "doc_a long, doc_b long, jaccard double")
+    return located.groupBy("task").applyInArrow(join, f"{PAIRS}, name_a long, name_b long")
 
 
 def _grams(blob: bytes) -> np.ndarray:
@@ -383,4 +437,24 @@ def sql(n: int = 3, threshold: float = 0.55) -> str:
     GROUP BY x, y"""
 
 
-__all__ = ["ngram_jaccard_join", "components", "keep_one", "sql", "Region"]
+def pairs_sql(n: int = 3, threshold: float = 0.55) -> str:
+    """DuckDB SQL for :func:`ngram_jaccard_pairs` over ``documents``: each document's sets are joined as they are."""
+    gram = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
+    return rf"""
+    WITH words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{{-\x7f]+'), lambda x: x <> '') AS t
+      FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    sets AS (
+      SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(t) < {n} THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - {n} + 2), lambda i: {gram}) END)) AS g
+      FROM words WHERE len(t) > 0),
+    numbered AS (SELECT row_number() OVER () AS s, doc_id, g, len(g) AS size FROM sets),
+    items AS (SELECT s, doc_id, size, unnest(g) AS gram FROM numbered)
+    SELECT doc_a, doc_b, max(jaccard) AS jaccard FROM (
+      SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, count(*) / (a.size + b.size - count(*))::DOUBLE AS jaccard
+      FROM items a JOIN items b ON a.gram = b.gram AND a.s < b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.s, b.s, a.doc_id, b.doc_id, a.size, b.size HAVING count(*) >= {threshold} * (a.size + b.size - count(*)) - 1e-9)
+    GROUP BY doc_a, doc_b"""
+
+
+__all__ = ["ngram_jaccard_join", "ngram_jaccard_pairs", "components", "keep_one", "sql", "pairs_sql", "Region"]

@@ -116,3 +116,26 @@ def test_components_of_chains_and_none(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "doc_a long, doc_b long").repartition(4)
     assert rows_of(J.components(chain)) == [(i, 1) for i in range(1, 61)] + [(100, 100), (101, 100)]
     assert rows_of(J.components(chain.limit(0))) == []
+
+
+def every(rows, t=0.55):
+    """All pairs of documents within the distance, without points."""
+    sets = sorted({(i, grams(text)) for i, text in rows if i is not None and text and grams(text)}, key=lambda x: x[0])
+    best = {}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            if a != b and (s := len(x & y) / len(x | y)) >= t - 1e-12:
+                best[a, b] = max(best.get((a, b), 0), s)
+    return sorted((a, b, round(s, 9)) for (a, b), s in best.items())
+
+
+def test_all_pairs_of_copies_and_of_ids_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(J, "PIECE", 3)
+    r = random.Random(9)
+    base = prose(r, 60)
+    near = base + " and some more words"
+    rows = [(i, base) for i in range(8)] + [(i, near) for i in range(6, 15)] + [(6, base), (3, prose(r, 20)), (None, base)] + [(i + 100, t) for i, t in families(4, 120)]
+    want = every(rows)
+    assert (8, 9, 1.0) in want and (1, 2, 1.0) in want and any(x[:2] == (2, 9) for x in want) and len(want) > len(expected(rows))
+    assert rows_of(J.ngram_jaccard_pairs(table(spark, rows, clash=True)).selectExpr("doc_a", "doc_b", "round(jaccard, 9)")) == want
+    assert rows_of(J.ngram_jaccard_pairs(table(spark, []))) == []
