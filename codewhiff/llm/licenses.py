@@ -24,22 +24,82 @@ class Template:
     phrases: tuple[str, ...]
 
 
+def _gnu(license: str, name: str, version: str, title: str) -> tuple[Template, ...]:
+    """Notices of a GNU licence: its header for programs, in its usual wordings, and the title of its text."""
+    phrase = f"gnu {name} public license".lower()
+    number = f"version {version.replace('.', ' ')}"
+    return (
+        Template(license, f"under the terms of the GNU {name} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version", (phrase, f"either {number} of the license")),
+        Template(license, f"under the terms of the GNU {name} Public License as published by the Free Software Foundation; version {version} of the License", (phrase, f"foundation {number} of the license")),
+        Template(license, f"under the terms of the GNU {name} Public License, version {version}, as published by the Free Software Foundation", (f"{phrase} {number} as",)),
+        Template(license, f"under the terms of the GNU {name} Public License version {version} or later", (f"{phrase} {number} or",)),
+        Template(license, f"GNU {name} PUBLIC LICENSE Version {version}, {title}", (f"{phrase} {number}",)),
+    )
+
+
+def _creative_commons(license: str, kind: str) -> Template:
+    return Template(license, f"licensed under a Creative Commons {kind} 4.0 International", (f"creative commons {kind} 4 0".lower().replace("-", " "),))
+
+
+def _spdx(license: str) -> Template:
+    words = f"SPDX-License-Identifier: {license}"
+    return Template(license, words, (words.lower().replace("-", " ").replace(".", " ").replace(":", ""),))
+
+
 TEMPLATES = (
     Template("MIT", "Released under the MIT License.", ("mit license",)),
     Template("MIT", "Licensed under the MIT License.", ("mit license",)),
     Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("free of charge", "permission is hereby granted")),
+    Template("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("shall be included in all copies or substantial portions",)),
     Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache license version 2 0",)),
     Template("Apache-2.0", "you may not use this file except in compliance with the License", ("except in compliance with the license",)),
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004", ("apache license version 2 0 january 2004",)),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu general public license version 3",)),
     Template("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", ("gnu general public license version 2",)),
     Template("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3", ("gnu lesser general public license version 3",)),
     Template("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3", ("gnu affero general public license version 3",)),
-    Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("source and binary forms",)),
+    *_gnu("GPL-3.0", "General", "3", "29 June 2007"),
+    *_gnu("GPL-2.0", "General", "2", "June 1991"),
+    *_gnu("LGPL-3.0", "Lesser General", "3", "29 June 2007"),
+    *_gnu("LGPL-2.1", "Lesser General", "2.1", "February 1999"),
+    *_gnu("LGPL-2.0", "Library General", "2", "June 1991"),
+    *_gnu("AGPL-3.0", "Affero General", "3", "19 November 2007"),
+    # BSD texts begin alike; what follows the second condition tells them apart
+    Template("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("source and binary forms",)),
+    *[Template("BSD-2-Clause", f"and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE {who} AS IS", ("provided with the distribution this software is provided by",)) for who in ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR", "AUTHOR AND CONTRIBUTORS")],
+    *[Template("BSD-3-Clause", f"in the documentation and/or other materials provided with the distribution. {mark}Neither the name of", (f"provided with the distribution {mark}neither the name of".replace(".", ""),)) for mark in ("", "3. ")],
+    Template("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement", ("all advertising materials mentioning features",)),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", ("with or without fee is hereby granted provided that",)),
+    Template("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", ("with or without fee is hereby granted provided that",)),
+    Template("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS", ("with or without fee is hereby granted the software",)),
+    Template("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("and to alter it and redistribute it freely",)),
+    Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0", ("boost software license version 1 0",)),
+    Template("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003", ("boost software license version 1 0 august",)),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    Template("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0 which is available at", ("eclipse public license 2 0",)),
+    Template("EPL-2.0", "made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution", ("eclipse public license v2 0",)),
+    Template("EPL-2.0", "Eclipse Public License - v 2.0", ("eclipse public license v 2 0",)),
+    Template("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", ("eclipse public license v1 0",)),
+    Template("EPL-1.0", "Eclipse Public License - v 1.0", ("eclipse public license v 1 0",)),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public license v 2 0",)),
+    Template("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at", ("if a copy of the mpl was not distributed",)),
+    Template("MPL-2.0", "Mozilla Public License Version 2.0", ("mozilla public license version 2 0",)),
+    Template("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1", ("mozilla public license version 1 1",)),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc by nc 4 0",)),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc by sa 4 0",)),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc by 4 0",)),
+    Template("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", ("cc by nd 4 0",)),
+    Template("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", ("cc by nc sa 4 0",)),
+    Template("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", ("cc by nc nd 4 0",)),
+    _creative_commons("CC-BY-4.0", "Attribution"),
+    _creative_commons("CC-BY-SA-4.0", "Attribution-ShareAlike"),
+    _creative_commons("CC-BY-NC-4.0", "Attribution-NonCommercial"),
+    _creative_commons("CC-BY-ND-4.0", "Attribution-NoDerivatives"),
+    _creative_commons("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike"),
+    _creative_commons("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives"),
     Template("CC0-1.0", "Released under CC0 1.0 Universal.", ("cc0 1 0",)),
+    Template("CC0-1.0", "has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    *map(_spdx, ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "LGPL-2.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "EPL-2.0", "EPL-1.0", "MPL-2.0", "MPL-1.1", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC0-1.0")),
 )
 
 
