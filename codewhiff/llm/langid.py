@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -112,17 +112,15 @@ class ByteConvNet:
 
 
 def train_on(df: DataFrame, per_language: int = 150, per_text: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", seed: int = 11) -> ByteConvNet:
-    """A network trained on a bounded sample: ``per_language`` labelled texts of each of the 64 most frequent languages, those of least hash of
+    """A network trained on a bounded sample: ``per_language`` labelled texts of each language, those of least hash of
     their id, and ``per_text`` windows from anywhere in each, of lengths from 8 bytes to a whole window, some of them in capitals. A further class,
     ``und``, gets made-up bytes that are no text."""
     labelled = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col).cast("long")).alias("h")).where("id is not null and label is not null and length(text) >= 40")
-    langs = {x.label: x["count"] for x in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()}
+    langs = {x.label: x["count"] for x in labelled.groupBy("label").count().collect()}
     # a bound on the hash that about three times the sample is below, so that what is sent to the driver doesn't grow with the rows
     bound = {k: (1 << 63) - 1 if n <= 3 * per_language else -(1 << 63) + (3 * per_language << 64) // n for k, n in langs.items()}
-    picked = _least(labelled, bound, per_language)
-    short = [k for k, n in langs.items() if sum(x.label == k for x in picked) < min(n, per_language)]
-    if short:
-        picked = [x for x in picked if x.label not in short] + _least(labelled, {k: (1 << 63) - 1 for k in short}, per_language)
+    had = {x.label: x.n for x in _sample(labelled, bound, per_language).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bound |= {k: (1 << 63) - 1 for k, n in langs.items() if had.get(k, 0) < min(n, per_language)}
     r = np.random.default_rng(seed)
     classes = sorted(langs) + [UNKNOWN]
     xs, ys = [], []
@@ -133,12 +131,13 @@ def train_on(df: DataFrame, per_language: int = 150, per_text: int = 4, id_col:
         xs.append(b)
         ys.append(label)
 
-    for row in picked:
+    number = {k: i for i, k in enumerate(classes)}
+    for row in _least(labelled, bound, per_language):
         for k in range(per_text):
             raw = (row.text.upper() if k == 3 else row.text).encode()
             n = WINDOW + REACH if k % 2 else int(r.integers(8, WINDOW + REACH))
             at = int(r.integers(0, max(1, len(raw) - n + 1)))
-            add(raw[at : at + n], classes.index(row.label))
+            add(raw[at : at + n], number[row.label])
     for k in range(max(1, len(xs) // max(1, len(langs)) // 2)):
         n = int(r.integers(8, WINDOW + REACH))
         pool = [np.arange(1, 256), np.arange(128, 256)][k % 2]
@@ -148,16 +147,16 @@ def train_on(df: DataFrame, per_language: int = 150, per_text: int = 4, id_col:
     return net
 
 
-def _least(labelled: DataFrame, bound: dict[str, int], most: int) -> list:
+def _sample(labelled: DataFrame, bound: dict[str, int], most: int) -> DataFrame:
     """Of each label, the ``most`` rows of least hash, all of which should be within the bound."""
-    rows = []
-    if bound:
-        near = None
-        for label, least in sorted(bound.items()):
-            one = (F.col("label") == label) & (F.col("h") <= least)
-            near = one if near is None else near | one
-        rows = sorted(labelled.where(near).collect(), key=lambda x: (x.label, x.h, x.id, x.text))
-    return [x for i, x in enumerate(rows) if i < most or rows[i - most].label != x.label]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(sorted(bound.items()), "label string, most_h long"))
+    order = Window.partitionBy("label").orderBy("h", "id", "text")
+    return labelled.join(limits, "label").where("h <= most_h").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+
+
+def _least(labelled: DataFrame, bound: dict[str, int], most: int):
+    """The rows of :func:`_sample` in order, a partition at a time, so that texts of many labels aren't held at once."""
+    return _sample(labelled, bound, most).orderBy("label", "h", "id", "text").toLocalIterator()
 
 
 def identify(df: DataFrame, net: ByteConvNet, min_confidence: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

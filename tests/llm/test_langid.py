@@ -78,3 +78,9 @@ def test_training_on_nothing(spark):
     net = L.train_on(table(spark, []))
     assert net.classes == [L.UNKNOWN]
     assert [r.accepted for r in L.identify(table(spark, [(1, "some words")]), net).collect()] == [False]
+
+
+def test_every_label_has_a_class(spark):
+    rows = [(100 * k + i, f"lang{k:02d} " * 12, f"lang{k:02d}", "web", 84) for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert L.train_on(docs).classes == sorted({r[2] for r in rows}) + [L.UNKNOWN]
