@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -28,9 +29,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,17 +43,48 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage, survives lost executors, and frees the shuffles behind it."""
+_tables: dict[str, SparkSession] = {}  # written tables that are still there
+
+
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``df`` as a written table: cuts the lineage, survives lost executors, and frees the shuffles behind it.
+
+    ``done`` are written tables that nothing needs after this one; they are deleted. Those left go when the process ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if not _tables:
+        atexit.unregister(_drop_all)
+        atexit.register(_drop_all)
+    _tables[path] = spark
     del df
+    drop(*done)
     release(spark)
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables."""
+    for t in tables:
+        _delete(t._written)
+
+
+def _delete(path: str) -> None:
+    spark = _tables.pop(path, None)
+    if spark is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for path, spark in list(_tables.items()):
+        if spark.sparkContext._jsc is not None:  # a stopped session can't delete any more
+            _delete(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner see that shuffles behind a written table are no longer referenced."""
     gc.collect()
@@ -58,18 +92,21 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+    """The optimizer's size estimate, at most what its sources have (a join's estimate is a product). A source of unknown
+    size, such as rows made on the driver, is measured by a pass."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(x >= 1 << 62 for x in sizes):
+        wide = [F.octet_length(c) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+        row = df.select(F.sum(sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(0)))).first()
+        return int(row[0] or 0)
+    return min(int(str(plan.stats().sizeInBytes())), sum(sizes))
 
-def partitions_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 18) -> int:
-    """How many partitions of about ``bytes_each`` estimated input bytes to use."""
-    return int(min(most, max(least, -(-input_bytes(df) // bytes_each))))
 
-
-def pick(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with internal names."""
-    return df.select(*[df[c] for c in cols])
+def partitions_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
+    """How many groups of about ``bytes_each`` estimated input bytes to use, so that a group's size doesn't grow with the input."""
+    return int(max(least, -(-input_bytes(df) // bytes_each)))
 
 
 # == blocks
@@ -110,10 +147,13 @@ def joined(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 def split_by(part: np.ndarray, n: int, *arrays: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
     """Rows grouped by ``part`` (0 <= part < n), as (part, arrays)."""
-    kind = np.uint16 if n <= 1 << 16 else np.uint32
-    order = np.argsort(part.astype(kind), kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(n + 1))
-    return [(p, [a[order[cuts[p] : cuts[p + 1]]] for a in arrays]) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+    if not len(part):
+        return []
+    part = part.astype(np.uint16 if n <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)].tolist()
+    return [(int(part[a]), [x[order[a:b]] for x in arrays]) for a, b in zip(cuts, cuts[1:])]
 
 
 def block_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -262,8 +302,3 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     if have < w:
         out = np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
     return out
-
-
-def hashed(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """Repartitioned by a hash of ``cols``."""
-    return df.repartition(n, *[F.col(c) for c in cols])

@@ -17,10 +17,6 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-def op1_ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_pairs(_table(spark, sf_dir, "documents"))
-
-
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_array_dedup(_table(spark, sf_dir, "documents"), length=50)
 
@@ -61,7 +57,6 @@ def op10_de_bruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-        "op1_ngram_jaccard_pairs": op1_ngram_jaccard_pairs,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_language_id": op4_language_id,
@@ -77,7 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": ngram_join.sql(),
-        "op1_ngram_jaccard_pairs": ngram_join.pairs_sql(),
         "op2_suffix_array_dedup": repeats.sql(50),
         "op6_license_scan": licenses.sql(),
         "op10_de_bruijn_repeats": repeats.sql(50),

@@ -17,31 +17,43 @@ def grams(text, n=3):
 
 
 def expected(rows, t=0.55):
+    """(doc_id, class_id, copy_of, n_links) by comparing each two sets."""
     points = defaultdict(set)
     for i, text in rows:
-        if i is not None and text and grams(text):
-            points[grams(text)].add(i)
-    best = {}
-
-    def put(a, b, s):
-        if a != b:
-            key = (min(a, b), max(a, b))
-            best[key] = max(best.get(key, 0), s)
-
-    for ids in points.values():
-        for i in ids:
-            put(min(ids), i, 1.0)
+        if i is not None:
+            points[grams(text) if text and grams(text) else i].add(i)
     sets = list(points)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [0] * len(sets)
     for x in range(len(sets)):
         for y in range(x):
-            s = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
-            if s >= t - 1e-12:
-                put(min(points[sets[x]]), min(points[sets[y]]), s)
-    return sorted((a, b, round(s, 9)) for (a, b), s in best.items())
+            if isinstance(sets[x], frozenset) and isinstance(sets[y], frozenset):
+                both = len(sets[x] & sets[y])
+                if both >= (t - 1e-12) * (len(sets[x]) + len(sets[y]) - both):
+                    links[x] += 1
+                    links[y] += 1
+                    root[find(x)] = find(y)
+    of = defaultdict(list)
+    for x, s in enumerate(sets):
+        for i in points[s]:
+            of[i].append(x)
+    for xs in of.values():
+        for x in xs:
+            root[find(x)] = find(xs[0])
+    least = {}
+    for x, s in enumerate(sets):
+        least[find(x)] = min(least.get(find(x), min(points[s])), min(points[s]))
+    return sorted((i, least[find(xs[0])], min(min(points[sets[x]]) for x in xs), sum(links[x] for x in xs)) for i, xs in of.items())
 
 
 def found(df, **kw):
-    return [(a, b, round(s, 9)) for a, b, s in rows_of(J.ngram_jaccard_join(df, **kw))]
+    return rows_of(J.ngram_jaccard_join(df, **kw))
 
 
 def families(seed, n):
@@ -63,79 +75,100 @@ def test_against_brute_force(spark, seed):
     assert found(table(spark, rows)) == expected(rows)
 
 
-def test_large_regions_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 16)
-    r = random.Random(5)
+def cluster(seed, n, most=12):
+    """Changed copies of one text."""
+    r = random.Random(seed)
     base = prose(r, 60).split()
     rows = []
-    for i in range(120):
+    for i in range(n):
         words = list(base)
-        for _ in range(r.randrange(12)):
+        for _ in range(r.randrange(most)):
             words[r.randrange(60)] = "x" + str(r.randrange(10**6))
         rows.append((i, " ".join(words)))
-    assert found(table(spark, rows)) == expected(rows)
+    return rows
+
 
+@pytest.mark.parametrize("block", [8, 40])
+def test_large_regions_divide_in_spark(spark, monkeypatch, block):
+    """By rounds of pivots, whose sets have a home then, and by pairs of blocks."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "LEAF", 6)
+    rows = cluster(5, 150) + [(1000 + i, t) for i, t in cluster(6, 90, 5)] + [(2000 + i, t) for i, t in families(8, 60)]
+    seen = []
+    homes = J._homes
+    monkeypatch.setattr(J, "_homes", lambda *a: seen.append(homes(*a)) or seen[-1])
+    want = expected(rows)
+    assert found(table(spark, rows)) == want
+    assert seen and max(w[3] for w in want) > 50
 
-def test_voronoi_regions_lose_no_pair(monkeypatch):
-    monkeypatch.setattr(J, "LEAF", 12)
+
+def test_frequent_ngrams_and_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 5)
+    rows = cluster(2, 200, 8) + [(500 + i, cluster(2, 1)[0][1]) for i in range(300)]
+    assert found(table(spark, rows).repartition(6)) == expected(rows)
+
+
+@pytest.mark.parametrize("leaf,spread", [(12, 0.95), (12, 0.99), (40, 0.97), (5, 0.9)])
+def test_regions_divide_by_balls_and_lose_no_link(monkeypatch, leaf, spread):
+    monkeypatch.setattr(J, "LEAF", leaf)
     r = np.random.default_rng(3)
-    sets = []
+    sets, apart = [], []
     for c in range(10):
         base = r.choice(5000, 40, replace=False)
         for _ in range(30):
-            keep = base[r.random(40) < 0.95]
-            sets.append(np.unique(np.r_[keep, r.choice(5000, 2)]).astype(np.uint64))
+            keep = base[r.random(40) < spread]
+            sets.append(np.unique(np.r_[keep, r.choice(5000, 1)]).astype(np.uint64))
+            apart.append([("r", x) for x in np.flatnonzero(r.random(4) < 0.2).tolist()])
     size = np.array([len(s) for s in sets])
-    x, y, _ = J.Region(sets, size, 0.2).pairs()
-    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8}
-    got = [(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())]
-    assert set(got) == want and len(got) == len(want)
+    near = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.6 for b in sets] for a in sets]) & ~np.eye(len(sets), dtype=bool)
+    here = np.array([[not set(a) & set(b) for b in apart] for a in apart])
+    region = J.Region(sets, size, 0.4, apart)
+    links, u, v = region.join()
+    assert links.tolist() == (near & here).sum(axis=1).tolist() and near[u, v].sum() + len(u) > 0
+    assert region.depth > 1 or spread < 0.95
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        out = []
+        for a in range(len(sets)):
+            while root[a] != a:
+                a = root[a]
+            out.append(a)
+        return out
+
+    assert groups(zip(u.tolist(), v.tolist())) == groups(zip(*np.nonzero(near)))
 
 
 def test_odd_rows(spark):
     long = prose(random.Random(1), 120_000)
-    rows = [(1, None), (None, "some text here for you"), (2, ""), (3, " .,; "), (4, "one two"), (5, "One, two!"), (6, "one"), (7, "one two three"), (7, "one two three"), (7, "other words in it"), (8, "ONE two; three"), (9, long), (10, long + " end"), (11, "Ünïcode wörds ñow")]
-    assert found(table(spark, rows, clash=True)) == expected(rows)
-    assert (4, 5, 1.0) in expected(rows) and (7, 8, 1.0) in expected(rows)
+    rows = [(1, None), (None, "some text here for you"), (2, ""), (3, " .,; "), (4, "one two"), (5, "One, two!"), (6, "one"), (7, "one two three"), (7, "one two three"), (7, "other words in it"), (8, "ONE two; three"), (9, long), (10, long + " end"), (11, "Ünïcode wörds ñow"), (12, ""), (12, "other words in it")]
+    want = expected(rows)
+    assert found(table(spark, rows, clash=True)) == want
+    assert (5, 4, 4, 0) in want and (8, 7, 7, 0) in want and (10, 9, 10, 1) in want and (12, 7, 7, 0) in want and (1, 1, 1, 0) in want
 
 
 def test_no_rows(spark):
     assert found(table(spark, [])) == []
-    assert found(table(spark, [(1, None), (2, "")])) == []
+    assert found(table(spark, [(1, None), (2, ""), (None, "a b c")])) == [(1, 1, 1, 0), (2, 2, 2, 0)]
 
 
 def test_keep_one(spark):
     rows = [(5, "a"), (3, "b"), (9, "c"), (1, "d"), (None, "e"), (None, "e"), (9, "c"), (2, "f"), (2, "f")]
-    pairs = spark.createDataFrame([(3, 5), (5, 9), (4, 4)], "doc_a long, doc_b long")
-    out = J.keep_one(table(spark, rows, clash=True), pairs)
+    classes = spark.createDataFrame([(3, 3), (5, 3), (9, 3), (1, 1), (2, 2)], "doc_id long, class_id long")
+    out = J.keep_one(table(spark, rows, clash=True), classes)
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(3, "b"), (1, "d"), (None, "e"), (None, "e"), (2, "f")], key=str)
     assert out.columns == table(spark, rows, clash=True).columns
 
 
-def test_components_of_chains_and_none(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_chains_and_none(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW", few)
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "doc_a long, doc_b long").repartition(4)
     assert rows_of(J.components(chain)) == [(i, 1) for i in range(1, 61)] + [(100, 100), (101, 100)]
     assert rows_of(J.components(chain.limit(0))) == []
-
-
-def every(rows, t=0.55):
-    """All pairs of documents within the distance, without points."""
-    sets = sorted({(i, grams(text)) for i, text in rows if i is not None and text and grams(text)}, key=lambda x: x[0])
-    best = {}
-    for k, (a, x) in enumerate(sets):
-        for b, y in sets[k + 1 :]:
-            if a != b and (s := len(x & y) / len(x | y)) >= t - 1e-12:
-                best[a, b] = max(best.get((a, b), 0), s)
-    return sorted((a, b, round(s, 9)) for (a, b), s in best.items())
-
-
-def test_all_pairs_of_copies_and_of_ids_with_several_texts(spark, monkeypatch):
-    monkeypatch.setattr(J, "PIECE", 3)
-    r = random.Random(9)
-    base = prose(r, 60)
-    near = base + " and some more words"
-    rows = [(i, base) for i in range(8)] + [(i, near) for i in range(6, 15)] + [(6, base), (3, prose(r, 20)), (None, base)] + [(i + 100, t) for i, t in families(4, 120)]
-    want = every(rows)
-    assert (8, 9, 1.0) in want and (1, 2, 1.0) in want and any(x[:2] == (2, 9) for x in want) and len(want) > len(expected(rows))
-    assert rows_of(J.ngram_jaccard_pairs(table(spark, rows, clash=True)).selectExpr("doc_a", "doc_b", "round(jaccard, 9)")) == want
-    assert rows_of(J.ngram_jaccard_pairs(table(spark, []))) == []
