@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,17 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     return out
 
 
+def publish(fs, temp: str, final: str) -> None:
+    """Give a finished file its name. A task that runs again makes the same file, so one that is there already stays."""
+    try:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            return fs.move(temp, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+    fs.delete_file(temp)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables."""
     for t in tables:

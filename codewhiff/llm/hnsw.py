@@ -201,21 +201,29 @@ def _load(path: str) -> tuple[Graph, np.ndarray]:
         return Graph.from_bytes(f.read())
 
 
-def nearest_neighbours(df: DataFrame, k: int = 10, shard_size: int = 16384, m: int = 16, ef_build: int = 64, ef: int = 96, batch: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, neighbor_id, rank, distance)``: about the ``k`` nearest other vectors of every vector, by Euclidean distance.
+def nearest_neighbours(df: DataFrame, queries: DataFrame | None = None, k: int = 10, shard_size: int = 16384, m: int = 16, ef_build: int = 64, ef: int = 96, batch: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``(vec_id, neighbor_id, rank, distance)``: about the ``k`` nearest other vectors of ``df``, by Euclidean distance, of each
+    vector of ``queries``, which has the same columns and is ``df`` unless it is given.
 
     Vectors fall in shards of about ``shard_size`` by a hash of their id. One task builds each shard's graph and writes its flat neighbour
-    arrays to the shared folder. Every vector is looked up in every shard: a task holds up to 65,536 vectors, reads one graph after the other and merges
-    the shards' results, so that vectors are exchanged once, however many shards there are. Ties go to the smaller id. Null ids, null or empty vectors, and vectors with nulls or values that aren't finite, or of another length than the most frequent
+    arrays to the shared folder. Every query is looked up in every shard: a task holds up to 65,536 queries, reads one graph after the other and merges
+    the shards' results, so that vectors are exchanged once, however many shards there are. A row of the query's own id is no neighbour. Ties go to the smaller id. Null ids, null or empty vectors, and vectors with nulls or values that aren't finite, or of another length than the most frequent
     one, take no part. Of repeated ids one row counts. Other columns are ignored. No rows in, none out.
     """
     spark = df.sparkSession
     C.ship(spark)
-    base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
-    base = base.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))")
-    dims = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+
+    def usable(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+        return rows.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity'))")
+
+    def of_one_length(rows: DataFrame, name: str) -> DataFrame:
+        return C.written(rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), name)
+
+    dims = usable(df).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = dims[0].dim if dims else 0
-    base = C.written(base.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    base = of_one_length(usable(df), "vectors")
+    asked = base if queries is None else of_one_length(usable(queries), "queries")
     total = base.count()
     shards = max(1, -(-total // shard_size))
     path = C.fresh_path(spark, "graphs")
@@ -236,11 +244,12 @@ def nearest_neighbours(df: DataFrame, k: int = 10, shard_size: int = 16384, m: i
         temp = f"{root}/.{uuid.uuid4().hex}"
         with fs.open_output_stream(temp) as f:
             f.write(Graph.built(v, m, ef_build).to_bytes(ids))
-        fs.move(temp, f"{root}/{key[0].as_py()}.hnsw")
+        C.publish(fs, temp, f"{root}/{key[0].as_py()}.hnsw")
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int64())})
 
-    made = sorted(r.shard for r in placed.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, n long").collect())
-    spread = max(-(-total // PASS), min(spark.sparkContext.defaultParallelism, -(-total // batch)), 1)
+    made = sorted(r.shard for r in placed.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, n long").collect())
+    total = asked.count()
+    spread = max(-(-total // PASS), min(spark.sparkContext.defaultParallelism, -(-total // 64)), 1)
 
     def look_up(batches):
         held: list[pa.RecordBatch] = []
@@ -270,4 +279,4 @@ def nearest_neighbours(df: DataFrame, k: int = 10, shard_size: int = 16384, m: i
         columns = [own[row], best_i[row, place], (place + 1).astype(np.int32), best_d[row, place]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["vec_id", "neighbor_id", "rank", "distance"])
 
-    return base.repartition(spread).mapInArrow(look_up, RESULT)
+    return asked.repartition(spread).mapInArrow(look_up, RESULT)

@@ -18,7 +18,7 @@ TINY = 1e-9
 POINTS = "doc_id long, name long, size int, grams binary, window binary"
 
 
-def ngram_jaccard_join(df: DataFrame, n: int = 3, threshold: float = 0.55, id_col: str = "doc_id", text_col: str = "text", bytes_each: int = 8 << 20) -> DataFrame:
+def ngram_jaccard_join(df: DataFrame, n: int = 3, threshold: float = 0.55, id_col: str = "doc_id", text_col: str = "text", bytes_each: int = 2 << 20) -> DataFrame:
     """``(doc_id, class_id, copy_of, n_links)`` of each id: documents whose sets of word n-grams are within Jaccard distance
     ``1 - threshold`` are linked.
 
@@ -195,7 +195,7 @@ def _points(df: DataFrame, n: int, t: float, id_col: str, text_col: str, bytes_e
 
 def _near(points: DataFrame, t: float, used: list[DataFrame]) -> DataFrame:
     """Rows (u, null, n): the point u has n more links; and (u, v, 0): links connect u and v. ``used`` gets the written tables it reads."""
-    parts = C.partitions_for(points, 8 << 20)
+    parts = C.partitions_for(points, 4 << 20)
 
     def spread(batches):
         for batch in batches:
@@ -222,7 +222,7 @@ def _near(points: DataFrame, t: float, used: list[DataFrame]) -> DataFrame:
     cells = C.written(cells.select("name", "region", F.filter("regions", lambda r: r < F.col("region")).alias("before")), "cells")
     used.append(cells)
     eps = 1.0 - t
-    groups = C.partitions_for(points, 4 << 20)
+    groups = C.partitions_for(points, 2 << 20)
     large = cells.groupBy("region").count().where(F.col("count") > BLOCK).select("region")
     homes = None
     if not large.isEmpty():

@@ -205,7 +205,7 @@ def write_wavelet_shards(df: DataFrame, tokenizer: str = TOKENIZER, path: str |
             final, temp = f"{root}/{name}.wm", f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(temp) as f:
                 f.write(build(ids, rows, bits))
-            fs.move(temp, final)
+            C.publish(fs, temp, final)
             out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([name] * len(rows)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([f"{path}/{name}.wm"] * len(rows))], names=["doc_id", "shard", "start", "n_tokens", "file"])
             held, rows, total, seq = [], [], 0, seq + 1
             return out

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from codewhiff.llm import hnsw as H
+from codewhiff.llm import queries
 from helpers import CLASHING
 
 
@@ -64,3 +65,26 @@ def test_round_trip():
     h, ids = H.Graph.from_bytes(g.to_bytes(np.arange(200)))
     a, b = g.search(x[:20], 5, 40), h.search(x[:20], 5, 40)
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and ids.tolist() == list(range(200))
+
+
+def test_queries_against_all_rows(spark):
+    """The registered query: every hundredth vector, all of whose neighbours are searched."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+    ids = np.array([i for i, _ in rows])
+    want = brute(np.array([v for _, v in rows], dtype=float), 10)
+    got = {}
+    for r in queries.op7_nearest_neighbours(spark, "/root/testdata/sf0.01").collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    asked = [n for n, i in enumerate(ids.tolist()) if i % 100 == 0]
+    assert set(got) == {int(ids[n]) for n in asked}
+    assert np.mean([len(got[int(ids[n])] & set(ids[want[n]].tolist())) / 10 for n in asked]) >= 0.9
+
+
+def test_queries_of_their_own(spark):
+    rows = [(1, [0, 0]), (2, [0, 1]), (3, [5, 5])]
+    asked = [(1, [5, 4]), (9, [0, 0.9]), (None, [0, 0]), (8, None), (7, [1, 2, 3])]
+    out = sorted((r.vec_id, r["rank"], r.neighbor_id) for r in H.nearest_neighbours(vectors(spark, rows), vectors(spark, asked, clash=True), k=2).collect())
+    assert out == [(1, 1, 3), (1, 2, 2), (9, 1, 2), (9, 2, 1)]
+    assert H.nearest_neighbours(vectors(spark, []), vectors(spark, asked), k=2).collect() == []
+    assert H.nearest_neighbours(vectors(spark, rows), vectors(spark, []), k=2).collect() == []
