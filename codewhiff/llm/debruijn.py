@@ -38,14 +38,9 @@ def de_bruijn_repeats(df: DataFrame, length: int = 50, k: int = 25, id_col: str
         for batch in batches:
             ids = np.asarray(batch.column(0), dtype=np.int64)
             for row, h, first, low, ok in R.candidate_windows(batch.column(1), batch.column(2), length, GRAM):
-                pos = np.flatnonzero(ok)
-                if not len(pos):
+                a, b, d = R.segments(ok, first, length)
+                if not len(a):
                     continue
-                doc = np.searchsorted(first, pos, side="right") - 1
-                new = np.r_[True, (pos[1:] > pos[:-1] + length) | (doc[1:] != doc[:-1])]
-                a = pos[new]
-                b = pos[np.r_[np.flatnonzero(new)[1:] - 1, len(pos) - 1]] + length
-                d = doc[new]
                 words = [(h[x:y] >> np.uint64(16)).tobytes() for x, y in zip(a.tolist(), b.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row + d]), pa.array((a - first[d]).astype(np.int32)), pa.array(words, pa.binary())], names=["doc_id", "start", "words"])
 

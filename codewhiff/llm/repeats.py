@@ -119,6 +119,16 @@ def candidate_windows(text: pa.Array, at: pa.Array, length: int, k: int):
         yield row, h, first, low, ok
 
 
+def segments(ok: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, row) of the parts of texts that the windows ``ok`` cover; windows that overlap or touch are one part."""
+    pos = np.flatnonzero(ok)
+    doc = np.searchsorted(first, pos, side="right") - 1
+    new = np.ones(len(pos), dtype=bool)
+    new[1:] = (pos[1:] > pos[:-1] + length) | (doc[1:] != doc[:-1])
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(pos) - 1] if len(pos) else pos
+    return pos[new], pos[last] + length, doc[new]
+
+
 def spans(runs: DataFrame, length: int) -> DataFrame:
     """Repeated windows, as runs of ``n`` windows from word ``start`` on, to the spans that they cover.
 
@@ -146,16 +156,17 @@ def as_runs(doc: np.ndarray, start: np.ndarray, src_doc: np.ndarray, src: np.nda
 def cut_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with the spans cut from its texts and the character count set anew; rows of which no word is left go.
 
-    Rows without a span are unchanged, whatever they hold.
+    Rows without a span are unchanged, whatever they hold; of repeated rows each is cut. Columns may have any names.
     """
     C.ship(df.sparkSession)
-    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    both = df.join(lists.hint("shuffle_hash"), df[id_col] == lists["__doc"], "left")
+    name = next(x for x in (f"spans{k}" for k in range(len(df.columns) + 1)) if x.lower() not in {c.lower() for c in df.columns})
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(name)).withColumnRenamed("doc_id", f"{name}-of")
+    both = df.join(lists.hint("shuffle_hash"), df[id_col] == lists[f"{name}-of"], "left")
 
     def cut(batches):
         for batch in batches:
             names = batch.schema.names
-            at, text = names.index("__spans"), batch.column(names.index(text_col))
+            at, text = names.index(name), batch.column(names.index(text_col))
             out = text.to_pylist()
             spans_ = batch.column(at)
             rows = np.flatnonzero(np.asarray(pa.compute.is_valid(spans_)))
@@ -181,17 +192,17 @@ def cut_spans(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             touched[rows] = True
             gone = np.array([x is None for x in out]) & touched if len(out) else touched
             cols = []
-            for name in names[:at]:
-                col = batch.column(names.index(name))
-                if name == text_col:
+            for c in names[:at]:
+                col = batch.column(names.index(c))
+                if c == text_col:
                     col = pa.array(out, pa.string())
-                elif name == length_col:
+                elif c == length_col:
                     old = col.to_pylist()
                     col = pa.array([len(out[i]) if touched[i] and out[i] is not None else old[i] for i in range(len(out))], col.type)
                 cols.append(col)
             yield pa.RecordBatch.from_arrays(cols, names=names[:at]).filter(pa.array(~gone))
 
-    return both.select(*[df[c] for c in df.columns], "__spans").mapInArrow(cut, df.schema)
+    return both.select(*[df[c] for c in df.columns], lists[name]).mapInArrow(cut, df.schema)
 
 
 def sql(length: int) -> str:

@@ -12,7 +12,7 @@ OPERATORS = [suffix_dedup.suffix_array_dedup, debruijn.de_bruijn_repeats]
 def expected(rows, length):
     seen, spans = {}, []
     texts = sorted({(i, t) for i, t in rows if i is not None and t is not None})
-    windows = sorted((i, p, tuple(t.split()[p : p + length])) for i, t in texts for p in range(len(t.split()) - length + 1))
+    windows = sorted((i, p, tuple(w[p : p + length])) for i, w in ((i, t.split()) for i, t in texts) for p in range(len(w) - length + 1))
     for i, p, w in windows:
         seen.setdefault(w, (i, p))
     again = sorted({(i, p, *seen[w]) for i, p, w in windows if seen[w] != (i, p)})
@@ -45,6 +45,21 @@ def test_against_brute_force(spark, find, seed):
     assert rows_of(find(table(spark, rows), 50)) == expected(rows, 50)
 
 
+@pytest.mark.parametrize("base,group", [(40, 50), (300, 400)])
+def test_suffix_array_over_many_tasks(spark, monkeypatch, base, group):
+    """Rounds of triples, names and merges, with blocks and groups that every string and passage goes through several of."""
+    for name, value in (("BASE", base), ("GROUP", group), ("BLOCK_WORDS", 150), ("PER_BLOCK", 20)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    levels = []
+    names = suffix_dedup._names
+    monkeypatch.setattr(suffix_dedup, "_names", lambda *a: levels.append(a[3]) or names(*a))
+    r = random.Random(3)
+    p = prose(r, 70)
+    rows = passages(7, 16, 50) + [(1000 + i, prose(r, 3) + " " + p + " " + prose(r, 3)) for i in range(20)] + [(2000 + i, p) for i in range(6)]
+    assert rows_of(suffix_dedup.suffix_array_dedup(table(spark, rows), 50)) == expected(rows, 50)
+    assert max(levels) >= 2
+
+
 @pytest.mark.parametrize("find", OPERATORS)
 def test_odd_rows(spark, find):
     r = random.Random(9)
@@ -82,6 +97,13 @@ def test_stage_cuts_all_but_the_first(spark):
     assert 3 not in out and 6 not in out and out[4].text is None and out[5].text == "" and out[None].text == p
 
 
+def test_cut_spans_with_any_column_names(spark):
+    found = spark.createDataFrame([(1, 0, 1, 5, 0)], repeats.SPANS)
+    df = table(spark, [(1, "a b"), (1, "a c"), (2, "d")]).selectExpr("*", "'x' as __spans", "1 as spans0", "2 as `Spans1`", "3 as `spans2-of`")
+    out = repeats.cut_spans(df, found)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text, r['__spans'], r.n_chars) for r in out.collect()) == [(1, "b", "x", 1), (1, "c", "x", 1), (2, "d", "x", 1)]
+
+
 def test_cut_spans_handles_none(spark):
     none = spark.createDataFrame([], repeats.SPANS)
     df = table(spark, [(1, "a b"), (2, None)])
