@@ -12,7 +12,7 @@ from . import common as C
 from . import repeats as R
 
 GRAM = 10
-BASE = 3 << 20  # symbols up to which one task sorts the suffixes
+BASE = 1 << 20  # symbols up to which one task sorts the suffixes
 GROUP = 1 << 19  # suffixes of a sorting task
 MOST_GROUPS = 1 << 16  # so that splitters and counts of groups, on the driver and in the tasks, are a few MB at most
 SAMPLES = 1 << 20  # suffixes at most that splitters are chosen from
@@ -132,9 +132,13 @@ def _groups(n: int) -> int:
     return int(min(MOST_GROUPS, max(2, -(-n // GROUP))))
 
 
-def _names(text: DataFrame, n: int, blocks: int, level: int, wide: bool):
+def _names(text: DataFrame, n: int, blocks: int, level: int, wide: bool, length: int):
     """The next level's text: the names of all triples of class 1 and 2, in the order of these. Returns it, how many triples and names
-    there are, whether its numbers are wide, and sampled suffixes (symbol, blk, i) of class 1."""
+    there are, whether its numbers are wide, and sampled suffixes (symbol, blk, i) of class 1.
+
+    Triples of a level span three times the words of those before. When they span ``length`` words, equal ones get names of their own, in any order.
+    """
+    last = 3 ** (level + 1) >= length
     per, step = max(1, min(PER_BLOCK, SAMPLES // blocks)), -(-blocks // SAMPLES)
 
     def triples(blk, blob):
@@ -176,15 +180,16 @@ def _names(text: DataFrame, n: int, blocks: int, level: int, wide: bool):
         order = np.lexsort((c, b, a))
         a, b, c, i, blk = a[order], b[order], c[order], i[order], blk[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-        name = np.cumsum(new).astype(np.uint32)
+        name = np.arange(1, len(i) + 1, dtype=np.uint32) if last else np.cumsum(new).astype(np.uint32)
         ends = [[int(x[k]) for x in (a, b, c)] for k in (0, -1)]
         return pa.table([[key[0].as_py()], [C.pack(i, blk, name)], [len(i)], [int(name[-1])], [ends[0]], [ends[1]]], schema=_arrow(ORDERED))
 
     ordered = C.written(text.select("blk", "blob").mapInArrow(spread, C.BLOCK_DDL).groupBy("part").applyInArrow(sort, ORDERED), "triples")
     offset, names, before, total = {}, 0, None, 0
     for row in sorted(ordered.drop("blob").collect(), key=lambda r: r.part):  # cumulative counts; a triple may go on in the next group
-        offset[row.part] = names - (row["first"] == before)
-        names += row.distinct - (row["first"] == before)
+        goes_on = not last and row["first"] == before
+        offset[row.part] = names - goes_on
+        names += row.distinct - goes_on
         before, total = row["last"], total + row.n
     out_wide = names >= 1 << 32
 
@@ -305,6 +310,7 @@ def _merged(text: DataFrame, ranks: DataFrame, ones: list[np.ndarray], n: int, l
         zero = np.argsort(key1[:nz], kind="stable")
         place = np.arange(nz) + np.searchsorted(np.sort(key1[nz:]), key1[:nz][zero]) + np.searchsorted(np.sort(key2[nz:]), key2[:nz][zero])
         sampled = np.argsort(np.r_[o[6], w[6]], kind="stable")
+        place = np.maximum.accumulate(place - np.arange(nz)) + np.arange(nz)  # suffixes that are equal as far as it matters have no order
         total = nz + len(sampled)
         out = np.empty(total, dtype=np.int64)
         free = np.ones(total, dtype=bool)
@@ -321,8 +327,9 @@ def _merged(text: DataFrame, ranks: DataFrame, ones: list[np.ndarray], n: int, l
     return C.written(both.groupBy("part").applyInArrow(merge, WINDOWS if length else "part int, blob binary, n long"), "merged")
 
 
-def _ranks(text: DataFrame, n: int, blocks: int, level: int, wide: bool) -> tuple[DataFrame, bool]:
-    """``(blk, ranks)``: the rank of each suffix of a text, from 1, and whether the numbers are wide. The text is deleted."""
+def _ranks(text: DataFrame, n: int, blocks: int, level: int, wide: bool, length: int) -> tuple[DataFrame, bool]:
+    """``(blk, ranks)``: the rank of each suffix of a text, from 1, and whether the numbers are wide; suffixes with ``length`` equal words are in
+    any order. The text is deleted."""
     if n <= BASE:
 
         def local(key, table):
@@ -334,8 +341,8 @@ def _ranks(text: DataFrame, n: int, blocks: int, level: int, wide: bool) -> tupl
             return pa.table([table.column("blk"), pa.array([C.pack(*_send(rank[a:b], wide)) for a, b in zip(cut, cut[1:])], pa.binary())], schema=_arrow(RANKS))
 
         return C.written(text.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(local, RANKS), "ranks", text), wide
-    named, total, names, named_wide, ones = _names(text, n, blocks, level, wide)
-    ranks, rank_wide = (named.select("blk", F.col("blob").alias("ranks")), named_wide) if names == total else _ranks(named, total, blocks, level + 1, named_wide)
+    named, total, names, named_wide, ones = _names(text, n, blocks, level, wide, length)
+    ranks, rank_wide = (named.select("blk", F.col("blob").alias("ranks")), named_wide) if names == total else _ranks(named, total, blocks, level + 1, named_wide, length)
     merged = _merged(text, ranks, ones, n, level, wide, rank_wide)
     C.drop(text, named if names == total else ranks)
     offset, done = {}, 0
@@ -402,8 +409,8 @@ def _sorted_windows(text: DataFrame, n: int, blocks: int, length: int) -> DataFr
             return _windows(0, i[order].astype(np.uint32), blk[order].astype(np.int32), mark[order], doc[order], at[order].astype(np.int32))
 
         return C.written(text.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(local, WINDOWS), "windows")
-    named, total, names, named_wide, ones = _names(text, n, blocks, 0, True)
-    ranks, rank_wide = (named.select("blk", F.col("blob").alias("ranks")), named_wide) if names == total else _ranks(named, total, blocks, 1, named_wide)
+    named, total, names, named_wide, ones = _names(text, n, blocks, 0, True, length)
+    ranks, rank_wide = (named.select("blk", F.col("blob").alias("ranks")), named_wide) if names == total else _ranks(named, total, blocks, 1, named_wide, length)
     windows = _merged(text, ranks, ones, n, 0, True, rank_wide, length)
     C.drop(named if names == total else ranks)
     return windows
@@ -492,7 +499,8 @@ def suffix_array_dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id",
        can be repeated. Equal segments enter the text once, with their least (doc_id, position).
     2. One suffix array over all segments, by the difference cover in rounds of Spark jobs: triples at starts of class 1 and 2 are sorted
        between sampled splitters and named by cumulative counts; unless all names differ, the names are the next round's
-       text; then the suffixes of class 0 are merged with those (:func:`_names`, :func:`_ranks`, :func:`_merged`). A text of at most
+       text; then the suffixes of class 0 are merged with those (:func:`_names`, :func:`_ranks`, :func:`_merged`). The recursion ends
+       where a triple of names spans ``length`` words, as no more are compared, so that its depth doesn't grow with the texts. A text of at most
        ``BASE`` symbols is sorted by one task. Splitters are whole suffixes, so that a frequent one is divided among tasks.
     3. Neighbours whose first ``length`` words are equal are a group; a group may go on through any number of tasks.
 
