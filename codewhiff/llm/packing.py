@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,81 +31,105 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(rest: list[int], sizes: list[int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of items of ``rest`` (largest first) that fit ``room``, fullest first.
+def fillings(values: list[int], counts: list[int], room: int, least: int) -> Iterator[list[tuple[int, int]]]:
+    """All undominated ways to fill ``room`` with at least ``least``, fullest first, as (number of the size, how often).
 
-    A filling is dominated if an item left out could take the place of one or more smaller items in it, or just fits
-    beside it. Of items of equal size the first ones are used. At most ``most`` fillings are given, from at most 40 times as
-    many maximal ones.
+    ``values`` are the different sizes, largest first, and ``counts`` how often each is there. Sums that the sizes from each one on
+    can reach are bit sets, so that the search for the fillings of a sum has no dead ends, and nothing is
+    enumerated before it is asked for. A filling is dominated if a larger size left out could take the place of one in it, or just fits beside it.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    seen: set[tuple[int, ...]] = set()
-    ends = [40 * most]
-
-    def go(at: int, left: int, chosen: list[int]) -> None:
-        if len(found) >= most or ends[0] <= 0:
-            return
-        j = at
-        while j < len(rest) and sizes[rest[j]] > left:
-            j += 1
-        if j >= len(rest):
-            ends[0] -= 1
-            key = tuple(sizes[i] for i in chosen)
-            if key not in seen and undominated(chosen, left):
-                seen.add(key)
-                found.append((room - left, tuple(chosen)))
-            return
-        go(j + 1, left - sizes[rest[j]], chosen + [rest[j]])
-        k = j
-        while k < len(rest) and sizes[rest[k]] == sizes[rest[j]]:
-            k += 1
-        go(k, left, chosen)
-
-    def undominated(chosen: list[int], left: int) -> bool:
-        taken = set(chosen)
-        out = [sizes[i] for i in rest if i not in taken]
-        return not any(any(sizes[c] < s <= sizes[c] + left for c in chosen) or s <= left for s in out)
-
-    go(0, room, [])
-    return [c for _, c in sorted(found, key=lambda f: (-f[0], f[1]))]
-
-
-def bin_completion(sizes: list[int], capacity: int, nodes: int = 2000, branches: int = 32) -> list[list[int]]:
+    bits = (1 << (room + 1)) - 1
+    reach = [1]
+    for v, n in zip(reversed(values), reversed(counts)):
+        r, step = reach[-1], 1
+        while n > 0 and v * step <= room:
+            step = min(step, n)
+            r |= (r << (v * step)) & bits
+            n, step = n - step, step * 2
+        reach.append(r)
+    reach.reverse()
+    for total in range(room, max(least, 0) - 1, -1):
+        if not reach[0] >> total & 1:
+            continue
+        free = room - total
+        stack: list[tuple[int, int, tuple | None]] = [(0, total, None)]
+        while stack:
+            at, left, chosen = stack.pop()
+            if not left:
+                taken = []
+                while chosen:
+                    taken.append(chosen[0])
+                    chosen = chosen[1]
+                if _undominated(values, counts, dict(taken), free):
+                    yield taken[::-1]
+                continue
+            v = values[at]
+            for k in range(min(counts[at], left // v) + 1):  # the last pushed, of most of the larger size, comes first
+                if reach[at + 1] >> (left - k * v) & 1:
+                    stack.append((at + 1, left - k * v, ((at, k), chosen) if k else chosen))
+
+
+def _undominated(values: list[int], counts: list[int], taken: dict[int, int], free: int) -> bool:
+    out = [v for at, v in enumerate(values) if counts[at] > taken.get(at, 0)]
+    if out and out[-1] <= free:
+        return False
+    out.reverse()
+    for at in taken:
+        larger = bisect.bisect_right(out, values[at])
+        if larger < len(out) and out[larger] <= values[at] + free:
+            return False
+    return True
+
+
+def bin_completion(sizes: list[int], capacity: int, nodes: int = 2000) -> list[list[int]]:
     """Few bins for all sizes (each from 1 to ``capacity``): indices of each bin.
 
-    Branch and bound: the largest item left starts a bin, and the undominated fillings around it are tried, fullest first.
-    Best-fit decreasing completes each node and gives the incumbent; a node is pruned when its bins and the least number that
-    the sizes left need, sum / capacity rounded up, can't beat it (waste bound). The result is
-    optimal if the search ends within ``nodes`` nodes; the incumbent holds in any case.
+    Branch and bound: the largest size left starts a bin, and the undominated fillings around it are tried, fullest first.
+    Best-fit decreasing completes each node and gives the incumbent. A node is pruned when its bins and the least number that
+    the sizes left need, sum / capacity rounded up, can't beat it; a filling when its waste leaves no better solution. Equal
+    sizes are one class. The result is optimal if the search ends within ``nodes`` nodes, and the incumbent otherwise.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    best = best_fit(sizes, capacity)
+    values = sorted(set(sizes), reverse=True)
+    number = {v: i for i, v in enumerate(values)}
+    counts = [0] * len(values)
+    for v in sizes:
+        counts[number[v]] += 1
+    best = [[sizes[i] for i in b] for b in best_fit(sizes, capacity)]
     least = -(-sum(sizes) // capacity)
-    left = [nodes]
-
-    def go(rest: list[int], done: list[list[int]], total: int) -> None:
-        nonlocal best
-        if len(best) == least or left[0] <= 0:
-            return
-        left[0] -= 1
-        if not rest:
-            if len(done) < len(best):
-                best = done
-            return
-        if len(done) + -(-total // capacity) >= len(best):
-            return
-        greedy = best_fit([sizes[i] for i in rest], capacity)
-        if len(done) + len(greedy) < len(best):
-            best = done + [[rest[i] for i in b] for b in greedy]
-        head = rest[0]
-        for chosen in fillings(rest[1:], sizes, capacity - sizes[head], branches):
-            taken = {head, *chosen}
-            go([i for i in rest if i not in taken], done + [[head, *chosen]], total - sum(sizes[i] for i in taken))
-            if len(best) == least or left[0] <= 0:
-                return
-
-    go(order, [], sum(sizes))
-    return best
+
+    def node(counts: list[int], done: list[list[int]], total: int):
+        head = next(i for i, n in enumerate(counts) if n)
+        left = counts.copy()
+        left[head] -= 1
+        slack = (len(best) - 1 - len(done)) * capacity - total
+        return left, done, total, head, fillings(values, left, capacity - values[head], capacity - values[head] - slack)
+
+    stack = [node(counts, [], sum(sizes))] if sizes and len(best) > least else []
+    while stack and nodes > 0 and len(best) > least:
+        left, done, total, head, ways = stack[-1]
+        way = next(ways, None)
+        if way is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        rest = left.copy()
+        filled = [values[head]]
+        for at, k in way:
+            rest[at] -= k
+            filled += [values[at]] * k
+        now, still = [*done, filled], total - sum(filled)
+        if len(now) + -(-still // capacity) >= len(best):
+            continue
+        open_ = [v for v, n in zip(values, rest) for _ in range(n)]
+        greedy = best_fit(open_, capacity)
+        if len(now) + len(greedy) < len(best):
+            best = now + [[open_[i] for i in b] for b in greedy]
+        if open_:
+            stack.append(node(rest, now, still))
+    waiting = {v: [] for v in values}
+    for i in reversed(range(len(sizes))):
+        waiting[sizes[i]].append(i)
+    return [[waiting[v].pop() for v in b] for b in best]
 
 
 def pack(df: DataFrame, capacity: int = 4096, group: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,8 +138,9 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 512, id_col: str = "d
     A document larger than a bin fills whole bins with its first parts, and its last part is packed with the others; ``parts``
     numbers a document's parts from 0. Documents fall in groups of about ``group`` by a hash, and each group is packed by bin
     completion, so tasks need no more than ids and word counts. ``bin_id`` is unique and depends on the rows
-    alone. Null ids, null texts and texts without a word aren't packed; repeated rows are packed each. Other columns are
-    ignored. No rows in, none out.
+    alone. Null ids, null texts and texts without a word aren't packed. Repeated rows are packed each, and fall in groups by their number
+    among their like, so that no id fills a group. Very long texts are counted in pieces. Among documents of equal size the least id comes first, and bins of equal
+    fullness are filled in the order they were opened. Other columns are ignored. No rows in, none out.
     """
     C.ship(df.sparkSession)
 
@@ -127,9 +153,11 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 512, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(n[ok])], names=["doc_id", "n"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    sizes = C.written(docs.mapInArrow(measure, "doc_id long, n long"), "word-counts")
-    groups = max(1, -(-sizes.count() // group))
-    placed = sizes.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    alike = C.written(docs.mapInArrow(measure, "doc_id long, n long").groupBy("doc_id", "n").agg(F.count("*").alias("times")), "word-counts")
+    groups = max(1, -(-int(alike.agg(F.sum("times")).first()[0] or 0) // group))
+    each = alike.withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
+    placed = each.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "nth"), F.lit(groups)).alias("group"))
+    tasks = min(groups, max(4 * df.sparkSession.sparkContext.defaultParallelism, groups // 64))
 
     def complete(key, table):
         doc, n = (np.asarray(table.column(c), dtype=np.int64) for c in ("doc_id", "n"))
@@ -153,4 +181,4 @@ def pack(df: DataFrame, capacity: int = 4096, group: int = 512, id_col: str = "d
             "waste": pa.array([capacity - u for u in used], pa.int32()),
         })
 
-    return placed.groupBy("group").applyInArrow(complete, RESULT)
+    return placed.repartition(tasks, "group").groupBy("group").applyInArrow(complete, RESULT)

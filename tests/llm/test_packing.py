@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -44,12 +45,37 @@ def test_better_than_best_fit():
     assert len(P.bin_completion(sizes, capacity)) == 2 <= len(P.best_fit(sizes, capacity))
 
 
-def test_fillings_are_undominated():
-    sizes = [7, 5, 4, 3, 2]
-    for f in P.fillings([0, 1, 2, 3, 4], sizes, 9, 100):
-        left = 9 - sum(sizes[i] for i in f)
-        out = [sizes[i] for i in range(5) if i not in f]
-        assert left >= 0 and not any(s <= left for s in out) and not any(sizes[i] < s <= sizes[i] + left for i in f for s in out)
+@pytest.mark.parametrize("seed", range(20))
+def test_fillings_are_all_that_are_undominated_fullest_first(seed):
+    r = random.Random(seed)
+    values = sorted(r.sample(range(1, 12), 5), reverse=True)
+    counts = [r.randrange(3) for _ in values]
+    room = r.randrange(5, 25)
+    got = list(P.fillings(values, counts, room, 0))
+    sums = [sum(values[at] * k for at, k in f) for f in got]
+    assert sums == sorted(sums, reverse=True) and len({tuple(f) for f in got}) == len(got)
+    want = set()
+    for ks in itertools.product(*[range(n + 1) for n in counts]):
+        total = sum(k * v for k, v in zip(ks, values))
+        out = [v for v, k, n in zip(values, ks, counts) if k < n]
+        if total <= room and not any(v <= room - total or any(k and c < v <= c + room - total for c, k in zip(values, ks)) for v in out):
+            want.add(tuple((at, k) for at, k in enumerate(ks) if k))
+    assert {tuple(f) for f in got} == want
+    least = r.randrange(room)
+    assert list(P.fillings(values, counts, room, least)) == [f for f, s in zip(got, sums) if s >= least]
+
+
+def test_many_equal_sizes():
+    sizes = [1] * 3000 + [2100] * 3 + [3000, 1500, 2596]
+    bins = P.bin_completion(sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+    assert len(bins) == 5
+
+
+def test_a_repeated_row_fills_no_group(spark):
+    rows = [(7, "w")] * 1100 + [(7, "w " * 2100)] * 3 + [(8, "v")] * 40
+    got = check(P.pack(table(spark, rows), group=100), rows, 4096)
+    assert len({b.bin_id >> 32 for b in got}) > 5
 
 
 def check(df, rows, capacity):
