@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 import time
@@ -11,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .operators import filters, reports
 from .operators.diff import parse_diff
 from .operators.scan import COLUMNS, files_scanned, find, scan, scan_content
@@ -60,6 +62,7 @@ def scan_diff(spark: SparkSession, diff: str, root: str, config: Config = Config
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0: no errors found; 1: errors found; 2: the scan was impossible."""
     args = argparse.ArgumentParser(prog="codewhiff", description="Finds code smells.")
+    args.add_argument("--version", action="version", version=__version__)
     args.add_argument("path", nargs="?", default=".")
     args.add_argument("-c", "--config")
     args.add_argument("--json", action="store_true")
@@ -90,7 +93,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         count = found.count()
         took = (time.monotonic() - began) * 1000
         if given.json:
-            print(reports.json_report(found, n, given.severity, round(took)).first().json)
+            print(json.dumps(json.loads(reports.json_report(found, n, given.severity, round(took)).first().json), indent=2, ensure_ascii=False))
         elif given.quiet:
             print(reports.quiet_line(found, given.severity).first().text)
         else:
@@ -107,5 +110,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
 
 
-if __name__ == "__main__":
+def run() -> None:
+    """The console script."""
     sys.exit(main())
+
+
+if __name__ == "__main__":
+    run()

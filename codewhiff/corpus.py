@@ -5,7 +5,7 @@ The tables hold prose; the snippets give every rule hits, suppressed hits and ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -57,18 +57,20 @@ SNIPPETS: tuple[tuple[str, str], ...] = (
 )
 
 
+def name_of(doc: Column) -> Column:
+    """The file of a document."""
+    kinds = F.array(*[F.lit(ext) for ext, _ in SNIPPETS])
+    folder = F.element_at(F.array(*map(F.lit, ("src", "lib", "dist", "src/vendor"))), (doc % 4 + 1).cast("int"))
+    return F.concat(folder, F.lit("/f"), doc, F.lit("."), F.element_at(kinds, (doc % len(SNIPPETS) + 1).cast("int")))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file, size, content)``: one file for each document of the table, with all of its text."""
     runtime.tune(spark)
     docs = runtime.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    n = len(SNIPPETS)
     bodies = F.array(*[F.lit(body) for _, body in SNIPPETS])
-    kinds = F.array(*[F.lit(ext) for ext, _ in SNIPPETS])
-    at = (F.col("doc_id") % n + 1).cast("int")
-    folder = F.element_at(F.array(*map(F.lit, ("src", "lib", "dist", "src/vendor"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    name = F.concat(folder, F.lit("/f"), F.col("doc_id"), F.lit("."), F.element_at(kinds, at))
-    content = F.concat(F.element_at(bodies, at), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return docs.where("doc_id is not null").select(name.alias("file"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
+    content = F.concat(F.element_at(bodies, (F.col("doc_id") % len(SNIPPETS) + 1).cast("int")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return docs.where("doc_id is not null").select(name_of(F.col("doc_id")).alias("file"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.rules import SEVERITIES
+from ..plans.rules import RULES, SEVERITIES
 from .filters import at_least
 
 
@@ -63,6 +63,13 @@ def longest_functions(findings: DataFrame, n: int = 10) -> DataFrame:
     return findings.where("rule = 'no-god-function'").select("file", "line", name.alias("name"), size.alias("lines")).orderBy(F.desc("lines"), "file", "line").limit(n)
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """``(file, nth, line, rule)``: each file's findings in the order of a report, by line and the catalogue's order, numbered from 1."""
+    ids = F.array(*[F.lit(r.id) for r in RULES])
+    order = Window.partitionBy("file").orderBy("line", F.array_position(ids, F.col("rule")), "column", "message")
+    return findings.select("file", F.row_number().over(order).alias("nth"), "line", "rule")
+
+
 def json_rows(findings: DataFrame) -> DataFrame:
     """``(json)``: a JSON object for each finding."""
     return findings.select(F.to_json(F.struct("rule", "severity", "category", "file", "line", "column", "message", "snippet")).alias("json"))

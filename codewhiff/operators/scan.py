@@ -120,15 +120,16 @@ def scan_content(files: DataFrame, config: Config = Config()) -> DataFrame:
 def scan(files: DataFrame, config: Config = Config(), changed: DataFrame | None = None) -> DataFrame:
     """Findings of the readable ``files``; with ``changed(file, line)`` only those on changed lines.
 
-    Unchanged files leave before anything is split. Detectors see whole files; their findings count by their first line.
+    Unchanged files leave before anything is split. Detectors see whole files; their findings count by their first line. What changed is
+    exchanged once, as the lines of each file, and read by both joins.
     """
     files = readable(files)
     if changed is None:
         return find(files, config).select(*COLUMNS)
-    lines = changed.select("file", "line").distinct()
-    names = lines.select("file").distinct()
-    out = find(files.join(names, "file", "left_semi"), config)
-    return out.join(lines, ["file", "line"], "left_semi").select(*COLUMNS)
+    # both sides ask for the lines, so that they are the same exchange
+    lines = changed.groupBy("file").agg(F.collect_set("line").alias("lines_")).where(F.size("lines_") > 0)
+    out = find(files.join(lines, "file", "left_semi"), config)
+    return out.join(lines, "file").where(F.array_contains("lines_", F.col("line"))).select(*COLUMNS)
 
 
 def files_scanned(files: DataFrame, changed: DataFrame | None = None) -> DataFrame:

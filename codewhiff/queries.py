@@ -47,12 +47,19 @@ def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(corpus.files(spark, sf_dir), changed=_changed(spark, sf_dir))
+    return scan(corpus.files(spark, sf_dir), changed=diff.changed_lines(corpus.diffs(spark, sf_dir)))
 
 
 def _pull_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.read.parquet(f"{sf_dir}/labels.parquet").join(corpus.files(spark, sf_dir).withColumn("doc_id", F.regexp_extract("file", r"f(\d+)\.", 1).cast("long")).select("doc_id", "file"), "doc_id")
-    return filters.in_files(scan(corpus.files(spark, sf_dir)), listed)
+    listed = spark.read.parquet(f"{sf_dir}/labels.parquet").select(corpus.name_of(F.col("doc_id")).alias("file"))
+    return scan(filters.in_files(corpus.files(spark, sf_dir), listed))
+
+
+def _odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with a NUL in every fifth file and too many bytes in every seventh."""
+    number = F.regexp_extract("file", r"f(\d+)\.", 1).cast("long")
+    content = F.concat("content", F.when(number % 5 == 0, F.lit("\0")).otherwise(F.lit("")), F.when(number % 7 == 0, F.repeat(F.lit("x"), 1_000_000)).otherwise(F.lit("")))
+    return corpus.files(spark, sf_dir).drop("size").withColumn("content", content)
 
 
 def _rerooted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,8 @@ def queries() -> dict[str, Query]:
         "rules_off": _over(lambda found: reports.by(found, "rule"), OFF),
         "min_severity": _over(lambda found: filters.at_least(found, "error")),
         "ignore_globs": lambda s, d: scan(filters.wanted_files(corpus.files(s, d), IGNORE), IGNORE),
-        "size_nul_filter": lambda s, d: files_scanned(corpus.files(s, d)),
+        "size_nul_filter": lambda s, d: files_scanned(_odd_files(s, d)),
+        "findings_sorted": _over(reports.numbered),
         "diff_parse": _changed,
         "diff_scan": _diff_scan,
         "diff_reroot": _rerooted,
@@ -108,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
     out = {f"rule_{r.id.replace('-', '_')}": f"{oracle.findings(Config().only(r.id))} SELECT {C} FROM findings" for r in R.RULES}
     escape = "replace(replace(replace({}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
     prop = lambda c: f"replace(replace({escape.format(c)}, ':', '%3A'), ',', '%2C')"
-    values = ", ".join("(" + ", ".join([str(r.ord), *(oracle.lit(x) for x in (r.id, r.severity, r.category, ",".join(r.languages), r.description)), *("NULL::VARCHAR" if x is None else oracle.lit(x) for x in (r.pattern, r.anti, r.excl))]) + ")" for r in R.RULES)
+    values = ", ".join("(" + ", ".join([str(r.ord), *(oracle.lit(x) for x in (r.id, r.id[0].upper() + r.id[1:].replace("-", " "), r.severity, r.category, ",".join(r.languages), r.description)), *("NULL::VARCHAR" if x is None else oracle.lit(x) for x in (r.pattern, r.anti, r.excl))]) + ")" for r in R.RULES)
     changed = oracle.diff_lines(whole)
     return out | {
         "findings_all": f"{whole} SELECT {C} FROM findings",
@@ -128,7 +136,8 @@ def oracle_sql() -> dict[str, str]:
         "rules_off": f"{oracle.findings(OFF)} SELECT rule, count(*) AS findings, count(DISTINCT file) AS files FROM findings GROUP BY ALL",
         "min_severity": f"{whole} SELECT {C} FROM findings WHERE severity = 'error'",
         "ignore_globs": f"{whole} SELECT {C} FROM findings WHERE (regexp_matches(file, '\\.(ts|tsx|py)$') OR regexp_matches(file, '^lib/[^/]*\\.js$')) AND NOT starts_with(file, 'dist/') AND NOT starts_with(file, 'src/vendor/') AND NOT regexp_matches(file, '^lib/[^/]*7\\.py$')",
-        "size_nul_filter": f"WITH {oracle.corpus_files()}, {oracle.READABLE} SELECT count(*) AS files_scanned FROM readable",
+        "size_nul_filter": f"WITH {oracle.corpus_files()} SELECT count(*) AS files_scanned FROM (SELECT strlen(content) AS n, regexp_extract(file, 'f(\\d+)\\.', 1)::BIGINT AS k FROM files) WHERE k % 5 <> 0 AND n + CASE WHEN k % 7 = 0 THEN 1000000 ELSE 0 END <= 1000000",
+        "findings_sorted": f"""{whole} SELECT file, (row_number() OVER (PARTITION BY file ORDER BY line, rule_ord, "column", message))::INT AS nth, line, rule FROM findings""",
         "diff_parse": f"WITH {oracle.diff_lines(oracle.corpus_files())} SELECT diff_id, file, line FROM changed",
         "diff_scan": f"{changed} SELECT {C} FROM findings f WHERE (file, line) IN (SELECT (file, line) FROM changed)",
         "diff_reroot": f"WITH {oracle.diff_lines(oracle.corpus_files())} SELECT substr(file, 5) AS file, line FROM changed WHERE starts_with(file, 'src/')",
@@ -143,5 +152,5 @@ def oracle_sql() -> dict[str, str]:
         "markdown_totals": f"{whole} SELECT (CASE severity WHEN 'error' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END)::INT AS ord, '| ' || upper(severity[1]) || severity[2:] || ' | ' || count(*) || ' |' AS text FROM findings GROUP BY severity",
         "ci_gate": f"{whole} SELECT count(*) FILTER (severity IN ('error', 'warn')) > 0 AS failed FROM findings",
         "exit_code": f"{whole} SELECT CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 1 ELSE 0 END::INT AS code FROM findings",
-        "rule_catalogue": f"SELECT * FROM (VALUES {values}) t(rule_ord, rule, severity, category, languages, description, pattern, \"anti\", excl)",
+        "rule_catalogue": f"SELECT * FROM (VALUES {values}) t(rule_ord, rule, name, severity, category, languages, description, pattern, \"anti\", excl)",
     }

@@ -15,7 +15,7 @@ def test_every_query_has_sql():
     assert queries.queries().keys() <= __spark_entry__.queries().keys()
 
 
-@pytest.mark.parametrize("name", ["findings_all", "findings_pages", "rule_no_god_function", "severity_override", "ignore_globs", "diff_parse", "diff_scan", "changed_files_only", "findings_by_file", "pretty_total", "json_rows", "rule_catalogue"])
+@pytest.mark.parametrize("name", ["findings_all", "findings_pages", "rule_no_god_function", "severity_override", "ignore_globs", "diff_parse", "diff_scan", "diff_reroot", "changed_files_only", "size_nul_filter", "findings_sorted", "findings_by_file", "pretty_total", "json_rows", "rule_catalogue"])
 def test_against_sql(spark, name):
     got, want = both(spark, queries.queries()[name], queries.oracle_sql()[name])
     assert got == want

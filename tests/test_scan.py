@@ -171,3 +171,36 @@ def test_wanted_files(spark):
     files = spark.createDataFrame([(n, "") for n in names], SCHEMA)
     assert sorted(r.file for r in filters.wanted_files(files).collect()) == ["__init__.py", "a.ts", "x/dist/b.ts"]
     assert sorted(r.file for r in filters.wanted_files(files, anywhere=True).collect()) == ["__init__.py", "a.ts"]
+
+
+def test_plans_of_changes(spark):
+    """A diff is read without an exchange, and once for a scan; files that aren't listed leave before the scan."""
+    sf = "/root/testdata/sf0.001"
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(diff.changed_lines(spark.createDataFrame([(1, "x")], "diff_id int, diff string")))
+    listed = plan(filters.in_files(corpus.files(spark, sf), spark.createDataFrame([("src/f0.ts",)], "file string")))
+    assert "LeftSemi" in listed
+    changed = spark.createDataFrame([("a.ts", 2), ("a.ts", 3)], "file string, line int")
+    texts = spark.createDataFrame([("a.ts", "x\neval(a)\ny\neval(b)"), ("b.ts", "eval(c)")], "file string, content string")
+    out = scan(texts, changed=changed)
+    assert [(r.file, r.line) for r in out.collect()] == [("a.ts", 2)]
+
+
+def test_package_root():
+    import codewhiff
+
+    assert all(hasattr(codewhiff, name) for name in codewhiff.__all__) and len(codewhiff.RULES) == 35
+
+
+def test_command_line_version(capsys):
+    import pytest
+
+    import codewhiff
+    from codewhiff import cli
+
+    with pytest.raises(SystemExit) as end:
+        cli.main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out.strip() == codewhiff.__version__
