@@ -70,8 +70,9 @@ def test_odd_rows(spark, find):
     assert rows_of(find(table(spark, []), 50)) == []
 
 
-def test_hot_passage(spark):
-    """One passage in many documents."""
+def test_hot_passage(spark, monkeypatch):
+    """One passage in many documents, and in many chunks."""
+    monkeypatch.setattr(debruijn, "CHUNK_WORDS", 500)
     r = random.Random(4)
     p = prose(r, 55)
     rows = [(i, prose(r, 5) + " " + p + " " + prose(r, 5)) for i in range(300)]
